@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from quern.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quern.llm.embeddings import op7_embeddings
+from quern.llm.lines import op9_lines
+from quern.llm.mixing import OP6_SQL, op6_mixing
+from quern.llm.secrets import op4_secrets
 from quern.llm.simhash import op1_simhash
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op7_embeddings)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_secrets, op5_decontaminate, op6_mixing, op7_embeddings, op9_lines)}
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op6_mixing": OP6_SQL}
