@@ -36,25 +36,22 @@ def period_slots(sources: DataFrame, period: int = PERIOD) -> DataFrame:
     largest fractions. The schedule is one row of at most max(period, sources)
     entries, made in one fold over the slots.
     """
-    x = sources.agg(F.array_sort(F.collect_list(F.struct("key", "weight"))).alias("s"))
-    x = x.where(F.size("s") > 0).withColumns({"n": F.size("s"), "w": F.aggregate("s", F.lit(0.0), lambda a, v: a + v["weight"])})
+    every = W.orderBy("key").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    x = sources.withColumns({"n": F.count("*").over(every), "w": F.sum("weight").over(every)})
     x = x.withColumn("total", F.greatest(F.lit(period), "n").cast("long"))
-    share = F.transform("s", lambda v: F.struct(v["key"].alias("key"), ((F.col("total") - F.col("n")) * v["weight"] / F.col("w")).alias("q")))
-    x = x.withColumn("q", share)
-    x = x.withColumn("left", F.col("total") - F.col("n") - F.aggregate("q", F.lit(0).cast("long"), lambda a, v: a + F.floor(v["q"])))
-    fraction = F.array_sort(F.transform("q", lambda v: F.struct((F.floor(v["q"]) - v["q"]).alias("f"), v["key"].alias("key"))))
-    x = x.withColumn("extra", F.transform(F.slice(fraction, 1, F.col("left").cast("int")), lambda v: v["key"]))
-    x = x.withColumn("p", F.transform("q", lambda v: (1 + F.floor(v["q"]) + F.when(F.array_contains("extra", v["key"]), 1).otherwise(0)).cast("long")))
-    # acc.k: blocks scheduled so far; acc.out: the source of each slot.
+    x = x.withColumn("q", (F.col("total") - F.col("n")) * F.col("weight") / F.col("w"))
+    x = x.withColumns({"rest": F.col("total") - F.col("n") - F.sum(F.floor("q")).over(every), "k": F.row_number().over(W.orderBy(F.floor("q") - F.col("q"), "key"))})
+    x = x.withColumn("p", (1 + F.floor("q") + F.when(F.col("k") <= F.col("rest"), 1).otherwise(0)).cast("long"))
+    x = x.agg(F.array_sort(F.collect_list(F.struct("key", "p"))).alias("s"), F.max("total").alias("total")).where("total IS NOT NULL")
+    # acc.k: blocks scheduled so far; acc.out: the source of each slot. The least of (due, source) over released blocks is next.
     fold = F.expr(
-        f"""aggregate(sequence(0, total - 1), named_struct('k', transform(p, v -> 0L), 'out', cast(array() as array<bigint>)),
-        (acc, t) -> named_struct(
-            'k', transform(acc.k, (k, i) -> if(i = array_min(transform(acc.k, (c, m) -> if((c * total) div p[m] <= t AND c < p[m], ((c + 1) * total + p[m] - 1) div p[m] * {_STRIDE}L + m, {_BIG}L))) % {_STRIDE}L, k + 1, k)),
-            'out', concat(acc.out, array(array_min(transform(acc.k, (c, m) -> if((c * total) div p[m] <= t AND c < p[m], ((c + 1) * total + p[m] - 1) div p[m] * {_STRIDE}L + m, {_BIG}L))) % {_STRIDE}L))),
+        f"""aggregate(sequence(0L, total - 1), named_struct('k', transform(s, v -> 0L), 'out', cast(array() as array<bigint>)),
+        (acc, t) -> transform(array(array_min(zip_with(acc.k, s, (c, v) -> if((c * total) div v.p <= t AND c < v.p, named_struct('due', ((c + 1) * total + v.p - 1) div v.p, 'key', v.key), null)))),
+            least -> named_struct('k', zip_with(acc.k, s, (c, v) -> if(v.key = least.key, c + 1, c)), 'out', concat(acc.out, array(array_position(transform(s, v -> v.key), least.key)))))[0],
         acc -> acc.out)"""
     )
-    x = x.withColumn("order", fold).select("total", "p", "q", F.posexplode("order").alias("slot", "i"))
-    x = x.select("total", F.get("p", F.col("i").cast("int")).alias("p"), F.get("q", F.col("i").cast("int"))["key"].alias("key"), F.col("slot").cast("long").alias("slot"))
+    x = x.select("s", "total", F.posexplode(fold).alias("slot", "i"))
+    x = x.select("total", F.col("slot").cast("long").alias("slot"), F.element_at("s", F.col("i").cast("int")).alias("v")).select("total", "slot", "v.key", "v.p")
     x = x.withColumn("j", (F.row_number().over(W.partitionBy("key").orderBy("slot")) - 1).cast("long"))
     return x.withColumns({"release": F.expr("(j * total) div p"), "due": F.expr("((j + 1) * total + p - 1) div p")})
 
@@ -115,8 +112,8 @@ e AS (SELECT CAST(0 AS BIGINT) AS t, (SELECT list(CAST(0 AS BIGINT)) FROM p) AS
  UNION ALL SELECT t + 1, list_transform(ks, lambda k, m: CASE WHEN m = v % {_STRIDE} THEN k + 1 ELSE k END), v % {_STRIDE}, ps, tot FROM
  (SELECT *, list_min(list_transform(ks, lambda c, m: CASE WHEN (c * tot) // ps[m] <= t AND c < ps[m] THEN ((c + 1) * tot + ps[m] - 1) // ps[m] * {_STRIDE} + m ELSE {_BIG} END)) AS v FROM e WHERE t < tot)),
 s AS (SELECT key, p, tot, t - 1 AS slot, row_number() OVER (PARTITION BY key ORDER BY t) - 1 AS j FROM e JOIN p ON pick = i),
-y AS (SELECT doc_id, source, key, coalesce(sum(chars) OVER (PARTITION BY key ORDER BY h, doc_id, chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM x)
-SELECT doc_id, source, CAST(at // {BLOCK_CHARS} AS BIGINT) AS mix_block, CAST(at // {BLOCK_CHARS} // p * tot + slot AS BIGINT) AS mix_slot, CAST(at % {BLOCK_CHARS} AS BIGINT) AS mix_place,
-CAST(at // {BLOCK_CHARS} // p * tot + (j * tot) // p AS BIGINT) AS mix_release, CAST(at // {BLOCK_CHARS} // p * tot + ((j + 1) * tot + p - 1) // p AS BIGINT) AS mix_due
-FROM y JOIN s ON y.key = s.key AND (at // {BLOCK_CHARS}) % p = j
+y AS (SELECT doc_id, source, key, coalesce(sum(chars) OVER (PARTITION BY key ORDER BY h, doc_id, chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x)
+SELECT doc_id, source, CAST(pos // {BLOCK_CHARS} AS BIGINT) AS mix_block, CAST(pos // {BLOCK_CHARS} // p * tot + slot AS BIGINT) AS mix_slot, CAST(pos % {BLOCK_CHARS} AS BIGINT) AS mix_place,
+CAST(pos // {BLOCK_CHARS} // p * tot + (j * tot) // p AS BIGINT) AS mix_release, CAST(pos // {BLOCK_CHARS} // p * tot + ((j + 1) * tot + p - 1) // p AS BIGINT) AS mix_due
+FROM y JOIN s ON y.key = s.key AND (pos // {BLOCK_CHARS}) % p = j
 """

@@ -6,8 +6,10 @@ from quern.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quern.llm.embeddings import op7_embeddings
 from quern.llm.lines import op9_lines
 from quern.llm.mixing import OP6_SQL, op6_mixing
+from quern.llm.quality import op2_quality
 from quern.llm.secrets import op4_secrets
 from quern.llm.simhash import op1_simhash
+from quern.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_secrets, op5_decontaminate, op6_mixing, op7_embeddings, op9_lines)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op4_secrets, op5_decontaminate, op6_mixing, op7_embeddings, op9_lines, op10_toxicity)}
 ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op6_mixing": OP6_SQL}
