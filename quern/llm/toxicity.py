@@ -22,94 +22,96 @@ from quern.llm.quality import labelled_sample
 
 #: Rows of either label that the fit may use.
 SAMPLE_ROWS = 4000
-BITS = 18
 FOLDS = 4
 ASPECTS = 2
 RIDGE = 1e-4
 STEPS = 60
 THRESHOLD = 0.5
-#: Log-odds from which a word is toxic evidence, and the documents it must be in.
-STRONG, SUPPORT = 2.0, 3
+#: Lengths of the word beginnings that are features beside whole words.
+PREFIXES = (4, 5, 6)
+#: A feature is evidence if the lower confidence bound of its log-odds reaches STRONG and SUPPORT documents have it.
+STRONG, SUPPORT, DEVIATIONS = 1.5, 5, 2.0
 _STRIP = b".,;:!?\"'()[]{}"
+_CACHE: dict[bytes, tuple[int, ...]] = {}
 
 
-def word_set(text: bytes) -> set[bytes]:
-    return {w.strip(_STRIP) for w in text.lower().split()} - {b""}
-
-
-_CACHE: dict[bytes, int] = {}
-
-
-def slot(word: bytes) -> int:
-    """Hashed feature of a word; a bounded memo spares most hashing."""
+def word_slots(word: bytes) -> tuple[int, ...]:
+    """Hashed features of a word: itself and its beginnings; a bounded memo spares most hashing."""
     found = _CACHE.get(word)
     if found is None:
         if len(_CACHE) > 200_000:
             _CACHE.clear()
-        found = _CACHE[word] = xxhash.xxh64_intdigest(word, 1) & ((1 << BITS) - 1)
+        w = word.strip(_STRIP).decode("utf-8", "replace")
+        parts = [f"={w}", *(w[:n] for n in PREFIXES if len(w) >= n)] if w else []
+        found = _CACHE[word] = tuple(xxhash.xxh32_intdigest(x, 1) >> 1 for x in parts)
     return found
 
 
 def slots(text: bytes) -> np.ndarray:
-    return np.unique(np.fromiter(map(slot, word_set(text)), dtype=np.int64))
+    """Distinct hashed features of a text, A-Z in lower case."""
+    found: set[int] = set()
+    for w in set(text.lower().split()):
+        found.update(word_slots(w))
+    return np.sort(np.fromiter(found, dtype=np.int32, count=len(found)))
+
+
+def evidence(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, lower bound of its log-odds, documents of label 1 with it) of the strong features, by feature."""
+    sides = [np.concatenate([np.zeros(0, np.int32), *(d for d, label in zip(docs, y) if label == v)]) for v in (0, 1)]
+    n = [max(1, int((y == v).sum())) for v in (0, 1)]
+    f, has = np.unique(sides[1], return_counts=True)
+    f, has = f[has >= SUPPORT], has[has >= SUPPORT]
+    g, other = np.unique(sides[0], return_counts=True)
+    at = np.minimum(np.searchsorted(g, f), max(len(g) - 1, 0))
+    miss = np.where(g[at] == f, other[at], 0) if len(g) else np.zeros(len(f))
+    odds = np.log((has + 0.5) / (n[1] + 1)) - np.log((miss + 0.5) / (n[0] + 1))
+    low = odds - DEVIATIONS * np.sqrt(1 / (has + 0.5) + 1 / (miss + 0.5) * (miss > 0))
+    return f[low >= STRONG], low[low >= STRONG], has[low >= STRONG]
 
 
 class Linear:
-    """Logistic regression on sets of hashed words, weighted by log-odds of the words, and extra dense columns.
+    """Logistic regression on summaries of a document's strong features, and extra dense columns.
 
-    The words enter as four summaries of their smoothed log-odds: the largest, the
-    sum of strong ones, the mean, and their count; so a toxic word weighs the same
-    in a long text as in a short one.
+    The summaries (largest log-odds, sum, count) weigh a toxic word the same in a long text as in a short one.
     """
 
     def __init__(self, docs: list[np.ndarray], y: np.ndarray, extra: np.ndarray):
-        df = np.zeros((2, 1 << BITS))
-        for d, label in zip(docs, y):
-            df[int(label), d] += 1
-        n = np.bincount(y.astype(int), minlength=2)
-        self.odds = np.log((df[1] + 0.1) / (n[1] + 0.2)) - np.log((df[0] + 0.1) / (n[0] + 0.2))
-        self.odds[df.sum(axis=0) < SUPPORT] = 0
-        # Leave-one-out odds in training would leak less, but SUPPORT already bars words of one document.
-        x = np.column_stack([self.words(docs), extra])
+        self.features, self.odds, _ = evidence(docs, y)
+        x = np.column_stack([self.summaries(docs), extra])
         self.mean, self.std = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
         z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.std])
         self.w = np.zeros(z.shape[1])
-        weight = np.where(y == 1, 0.5 / max(n[1], 1), 0.5 / max(n[0], 1))
         for _ in range(STEPS):
             p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            grad = z.T @ (weight * (y - p)) - RIDGE * self.w
-            hess = (z * (weight * p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(self.w))
+            grad = z.T @ (y - p) / len(y) - RIDGE * self.w
+            hess = (z * (p * (1 - p))[:, None]).T @ z / len(y) + RIDGE * np.eye(len(self.w))
             step = np.linalg.solve(hess, grad)
             self.w += step
             if np.abs(step).max() < 1e-8:
                 break
 
-    def words(self, docs: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(docs), 4))
+    def summaries(self, docs: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(docs), 3))
+        if not len(self.features):
+            return out
         for r, d in enumerate(docs):
-            if len(d):
-                o = self.odds[d]
-                strong = o[o > STRONG]
-                out[r] = o.max(), np.log1p(strong.sum()), np.clip(o, -3, 3).mean(), np.log1p(len(strong))
+            at = np.minimum(np.searchsorted(self.features, d), len(self.features) - 1)
+            o = self.odds[at[self.features[at] == d]]
+            if len(o):
+                out[r] = o.max(), np.log1p(o.sum()), np.log1p(len(o))
         return out
 
     def predict(self, docs: list[np.ndarray], extra: np.ndarray) -> np.ndarray:
-        x = (np.column_stack([self.words(docs), extra]) - self.mean) / self.std
+        x = (np.column_stack([self.summaries(docs), extra]) - self.mean) / self.std
         return 1 / (1 + np.exp(-np.clip(self.w[0] + x @ self.w[1:], -30, 30)))
 
 
 def aspects(docs: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
-    """Labels of each aspect: documents with a strong toxic word of its group."""
-    df = np.zeros((2, 1 << BITS))
-    for d, label in zip(docs, y):
-        df[int(label), d] += 1
-    n = np.bincount(y.astype(int), minlength=2)
-    odds = np.log((df[1] + 0.1) / (n[1] + 0.2)) - np.log((df[0] + 0.1) / (n[0] + 0.2))
-    strong = np.flatnonzero((odds > STRONG) & (df[1] >= SUPPORT))
-    order = strong[np.argsort(-df[1][strong], kind="stable")]
-    member = np.zeros(1 << BITS, dtype=np.int8)
-    member[order] = np.arange(len(order)) % ASPECTS + 1
-    return [np.array([bool((member[d] == k + 1).any()) and label == 1 for d, label in zip(docs, y)], dtype=float) for k in range(ASPECTS)]
+    """Labels of each aspect: toxic documents with a strong feature of its group; features are dealt by falling support."""
+    f, _, has = evidence(docs, y)
+    order = np.argsort(-has, kind="stable")
+    groups = [np.sort(f[order[k::ASPECTS]]) for k in range(ASPECTS)]
+    return [np.array([label == 1 and bool(np.isin(d, g).any()) for d, label in zip(docs, y)], dtype=float) for g in groups]
 
 
 class Chain:
@@ -145,10 +147,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([slots(t) for t in texts(batch)], pa.list_(pa.int64()))], ["label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([slots(t) for t in texts(batch)], pa.list_(pa.int32()))], ["label", "words"])
 
-    rows = known.mapInArrow(run, "label int, words array<long>").toArrow()
-    words = [np.array(x, dtype=np.int64) for x in rows.column("words").to_pylist()]
+    rows = known.mapInArrow(run, "label int, words array<int>").toArrow().combine_chunks()
+    lists = pa.concat_arrays(rows.column("words").chunks) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    words = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if len(lists) else []
     label = rows.column("label").to_numpy()
     key = [xxhash.xxh64_intdigest(w.tobytes(), 5) for w in words]
     order = np.argsort(np.array(key, dtype=np.uint64), kind="stable") if key else np.zeros(0, dtype=np.int64)
