@@ -36,11 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder, which cuts the lineage."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder, which cuts the lineage; partitioned by a column if one is named."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
