@@ -32,8 +32,10 @@ DISCOUNTED = 5
 BATCH_TOKENS = 1_000_000
 #: Text bytes per shuffle partition, and buckets per partition.
 PARTITION_BYTES, SPREAD = 24 << 20, 4
+#: Entries of the lookup table that one scoring task holds, and the least number of such tasks.
+TASK_ENTRIES, LEAST_TASKS = 2_000_000, 24
 #: Keys of at least this share of all tokens are looked up where the documents are; there are at most 2 / share of them.
-HOT_SHARE = 1 / 65536
+HOT_SHARE = 1 / 262144
 ADD = 0.1
 END, START = (np.uint64(xxhash.xxh64_intdigest(x, 9)) for x in (b"<end>", b"<start>"))
 
@@ -88,6 +90,8 @@ def _unpack(block: bytes) -> list[np.ndarray]:
     return out
 
 
+#: Batch number of lookup blocks, which sorts before all others.
+LOOKUP = -1
 BLOCKS = "bucket int, kind string, batch long, block binary"
 
 
@@ -145,7 +149,8 @@ def count_blocks(train: DataFrame, buckets: int) -> DataFrame:
             for b, (i, j) in enumerate(zip(cut, cut[1:])):
                 if j > i:
                     hs, runs = np.unique(h[i:j], return_counts=True)
-                    out.append((b, "b", 0, _pack(hs, runs.astype(np.uint32), w[i:j], c[i:j].astype(np.uint32))))
+                    ws, at = np.unique(w[i:j], return_inverse=True)
+                    out.append((b, "b", 0, _pack(hs, runs.astype(np.uint32), ws, at.astype(np.uint32), c[i:j].astype(np.uint32))))
             yield _rows(out)
 
     return train.select("text").mapInArrow(run, BLOCKS)
@@ -155,14 +160,6 @@ def merge_counts(dealt: DataFrame) -> DataFrame:
     """(ord, a, b, c): 1 for words (a, count c), 2 for pairs (a, b, count c >= MIN_PAIR), 0 and -1 for counts of counts (a of c) of words and pairs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, p = [], []
-        for batch in batches:
-            for kind, block in zip(batch.column("kind").to_pylist(), batch.column("block").to_pylist()):
-                if kind == "u":
-                    u.append(_unpack(block))
-                else:
-                    hs, runs, w, c = _unpack(block)
-                    p.append((np.repeat(hs, runs), w, c))
         def rows(order, a, b, c):
             n = len(a)
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, order, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(c.astype(np.int64))], ["ord", "a", "b", "c"])
@@ -170,20 +167,37 @@ def merge_counts(dealt: DataFrame) -> DataFrame:
             n = np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
             r = np.arange(len(n), dtype=np.int64)
             return rows(order, r[1:], np.zeros(len(n) - 1, np.int64), n[1:])
-        if u:
-            w, c = _sum_words(*(np.concatenate(x) for x in zip(*u)))
-            yield rows(1, w, np.zeros(len(w), np.uint64), c)
-            yield spectrum(0, c)
-        if p:
-            h, w, c = _sum_pairs(*(np.concatenate(x).astype(t) for x, t in zip(zip(*p), (np.uint64, np.uint64, np.int64))))
-            yield spectrum(-1, c)
-            keep = c >= MIN_PAIR
-            for lo in range(0, int(keep.sum()), 1 << 18):
-                yield rows(2, h[keep][lo : lo + (1 << 18)], w[keep][lo : lo + (1 << 18)], c[keep][lo : lo + (1 << 18)])
+
+        for _, part in _runs(batches, "bucket"):
+            u = [_unpack(block) for kind, block in part if kind == "u"]
+            p = [(np.repeat(hs, runs), ws[at], c) for hs, runs, ws, at, c in (_unpack(block) for kind, block in part if kind == "b")]
+            if u:
+                w, c = _sum_words(*(np.concatenate(x) for x in zip(*u)))
+                yield rows(1, w, np.zeros(len(w), np.uint64), c)
+                yield spectrum(0, c)
+            if p:
+                h, w, c = _sum_pairs(*(np.concatenate(x).astype(t) for x, t in zip(zip(*p), (np.uint64, np.uint64, np.int64))))
+                yield spectrum(-1, c)
+                keep = c >= MIN_PAIR
+                yield rows(2, h[keep], w[keep], c[keep])
 
     return dealt.mapInArrow(run, "ord int, a long, b long, c long")
 
 
+def _runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
+    """(kind, block) rows of each value of a sorted column."""
+    last, held = None, []
+    for batch in batches:
+        for k, kind, block in zip(*(batch.column(c).to_pylist() for c in (key, "kind", "block"))):
+            if k != last and held:
+                yield last, held
+                held = []
+            last = k
+            held.append((kind, block))
+    if held:
+        yield last, held
+
+
 def discounts(n: dict[int, int], least: int = 1) -> list[float]:
     """Katz's d(1) .. d(DISCOUNTED) from counts of counts; (r - 1/2) / r where they give none in (0, 1]."""
     out = []
@@ -220,7 +234,7 @@ class Katz:
         self.parts = partitions(train)
         self.buckets = SPREAD * self.parts
         self.n_docs = train.count()
-        counts = merge_counts(count_blocks(train, self.buckets).repartition(self.parts, "bucket"))
+        counts = merge_counts(count_blocks(train, self.buckets).repartition(self.parts, "bucket").sortWithinPartitions("bucket"))
         self.counts = written(counts, "ngrams", by="ord")
         release(self.spark)
         n: dict[int, dict[int, int]] = {0: {}, -1: {}}
@@ -234,6 +248,9 @@ class Katz:
         # What is left for unknown words; at least what one more token would be.
         self.unknown = max(1 - kept / self.total, 1 / (self.total + 1)) if self.total else 1.0
         self.z1 = (1 - self.unknown) / (kept / self.total) if self.total else 1.0
+        self.n_pairs = self.pairs.count()
+        self.backoff = written(self._backoff(), "backoff")
+        release(self.spark)
 
     def histories(self) -> DataFrame:
         """(h, ch): how often each word, or the start, is a history."""
@@ -243,15 +260,15 @@ class Katz:
     def single(self):
         return discounted(F.col("c"), self.d1) * (self.z1 / max(self.total, 1))
 
-    def backoff(self) -> tuple[DataFrame, DataFrame]:
-        """pairs(h, w, c, p1), and (h, ch, z, alpha) of histories that have pairs."""
-        p1 = self.words.select("w", self.single().alias("p1"))
-        pairs = self.pairs.join(p1, "w")
-        sums = pairs.groupBy("h").agg(F.sum(discounted(F.col("c"), self.d2)).alias("s"), F.sum("p1").alias("s1"))
+    def _known_pairs(self) -> DataFrame:
+        return self.pairs.join(self.words.select("w", self.single().alias("p1")), "w")
+
+    def _backoff(self) -> DataFrame:
+        """(h, ch, z, alpha) of histories that have pairs."""
+        sums = self._known_pairs().groupBy("h").agg(F.sum(discounted(F.col("c"), self.d2)).alias("s"), F.sum("p1").alias("s1"))
         x = sums.join(self.histories(), "h").withColumn("share", F.col("s") / F.col("ch"))
-        left = F.greatest(1 - F.col("share"), 1 / (F.col("ch") + 1))
-        x = x.withColumn("left", left)
-        return pairs, x.select("h", "ch", ((1 - F.col("left")) / F.col("share")).alias("z"), (F.col("left") / (1 - F.col("s1"))).alias("alpha"))
+        x = x.withColumn("left", F.greatest(1 - F.col("share"), 1 / (F.col("ch") + 1)))
+        return x.select("h", "ch", ((1 - F.col("left")) / F.col("share")).alias("z"), (F.col("left") / (1 - F.col("s1"))).alias("alpha"))
 
     def lookups(self) -> DataFrame:
         """(h, w, c, v): what a token adds to the score of a text of unknown words alone.
@@ -260,9 +277,9 @@ class Katz:
         history of the next; a pair adds what it has over backing off. c is the count of
         a word, 0 for a pair.
         """
-        pairs, hs = self.backoff()
+        hs = self.backoff
         v2 = F.log10(discounted(F.col("c"), self.d2) / F.col("ch") * F.col("z")) - F.log10("alpha") - F.log10("p1")
-        two = pairs.join(hs, "h").select("h", "w", F.lit(0).cast("long").alias("c"), v2.alias("v"))
+        two = self._known_pairs().join(hs, "h").select("h", "w", F.lit(0).cast("long").alias("c"), v2.alias("v"))
         alpha = hs.select(F.col("h").alias("w"), F.log10("alpha").alias("la"))
         one = self.words.join(alpha, "w", "left")
         own = F.log10(self.single()) - float(np.log10(self.unknown))
@@ -272,7 +289,7 @@ class Katz:
 
     def start_alpha(self) -> float:
         """log10 alpha of the start, which every text has once."""
-        row = self.backoff()[1].where(F.col("h") == int(START.view(np.int64))).select(F.log10("alpha")).first()
+        row = self.backoff.where(F.col("h") == int(START.view(np.int64))).select(F.log10("alpha")).first()
         return float(row[0]) if row else 0.0
 
     def lookup_blocks(self) -> DataFrame:
@@ -284,7 +301,7 @@ class Katz:
                 order = np.argsort(key)
                 key, c, v = key[order], c[order].astype(np.uint64), v[order]
                 cut = _cut(key, buckets)
-                yield _rows([(b, "t", 0, _pack(key[i:j], c[i:j].view(np.int64), v[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
+                yield _rows([(b, "t", LOOKUP, _pack(key[i:j], c[i:j].view(np.int64), v[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
 
         return self.lookups().mapInArrow(run, BLOCKS)
 
@@ -332,29 +349,31 @@ class Katz:
                 yield _rows(out)
 
         def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, asked, through = [], [], []
-            for batch in batches:
-                for kind, number, block in zip(*(batch.column(c).to_pylist() for c in ("kind", "batch", "block"))):
-                    (known if kind == "t" else asked if kind == "q" else through).append((kind, number, block))
-            yield _rows([(0, kind, number, block) for kind, number, block in through])
-            if not known:
-                return
-            key, c, v = (np.concatenate(x) for x in zip(*(_unpack(b) for *_, b in known)))
-            order = np.argsort(key)
-            key, c, v = key[order], c[order], v[order]
-            for number, blocks in _by_batch(asked):
-                sums: list[tuple] = []
-                for block in blocks:
-                    ks, runs, doc = _unpack(block)
-                    at = np.minimum(np.searchsorted(key, ks), len(key) - 1)
-                    hit = key[at] == ks
+            known: list[list[np.ndarray]] = []
+            key = c = v = None
+            for number, part in _runs(batches, "batch"):
+                if number == LOOKUP:
+                    known += [_unpack(block) for _, block in part]
+                    continue
+                if key is None:
+                    key, c, v = (np.concatenate(x) for x in zip(*known)) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
+                    order, known = np.argsort(key), []
+                    key, c, v = key[order], c[order], v[order]
+                yield _rows([(0, kind, number, block) for kind, block in part if kind != "q"])
+                docs_, vs, cs = [], [], []
+                for ks, runs, doc in (_unpack(block) for kind, block in part if kind == "q"):
+                    at = np.minimum(np.searchsorted(key, ks), max(len(key) - 1, 0))
+                    hit = key[at] == ks if len(key) else np.zeros(len(ks), bool)
                     each = np.repeat(hit, runs)
                     pos = np.repeat(at, runs)[each]
-                    sums.append((doc[each], v[pos], c[pos]))
-                doc, vs, cs = (np.concatenate(x) for x in zip(*sums))
-                ids, inverse = np.unique(doc, return_inverse=True)
-                total = lambda x: np.bincount(inverse, weights=x, minlength=len(ids))  # noqa: B023,E731
-                yield _rows([(0, "s", number, _pack(ids.astype(np.uint32), total(vs), total(gains(cs)), total(cs > 0).astype(np.uint32), np.zeros(len(ids), np.uint32)))])
+                    docs_.append(doc[each])
+                    vs.append(v[pos])
+                    cs.append(c[pos])
+                if docs_:
+                    doc, vs, cs = map(np.concatenate, (docs_, vs, cs))
+                    ids, inverse = np.unique(doc, return_inverse=True)
+                    total = lambda x: np.bincount(inverse, weights=x, minlength=len(ids))  # noqa: B023,E731
+                    yield _rows([(0, "s", number, _pack(ids.astype(np.uint32), total(vs), total(gains(cs)), total(cs > 0).astype(np.uint32), np.zeros(len(ids), np.uint32)))])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -370,22 +389,35 @@ class Katz:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(g), pa.array(v)], ["doc_id", "n_tokens", "n_known", "g", "v"])
 
         asked = docs.select("doc_id", "text").mapInArrow(ask, BLOCKS)
-        answered = asked.unionByName(table_blocks).repartition(self.parts, "bucket").mapInArrow(answer, BLOCKS)
+        tasks = max(LEAST_TASKS, -(-(self.types + self.n_pairs) // TASK_ENTRIES))
+        answered = asked.unionByName(table_blocks).repartition(tasks, "bucket").sortWithinPartitions("batch").mapInArrow(answer, BLOCKS)
         sums = answered.repartition(self.parts, "batch").mapInArrow(gather, f"doc_id {kind}, n_tokens long, n_known long, g double, v double")
         floor = add - float(np.log10(self.total + ADD * (self.types + 1)))
         alone = float(np.log10(self.unknown))
         return sums.select("doc_id", "n_tokens", "n_known", (F.col("n_tokens") * floor + F.col("g")).alias("base_score"), (F.col("n_tokens") * alone + F.col("v") + self.start_alpha()).alias("score"))
 
     def _hot(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of words and pairs that occur ``least`` times or more: sorted keys, counts, values."""
-        words = self.words.where(F.col("c") >= least).select("w")
-        pairs = self.pairs.where(F.col("c") >= least).select("h", "w")
-        x = self.lookups()
-        found = x.where("h IS NULL").join(F.broadcast(words), "w").select("h", "w", "c", "v").unionByName(x.where("h IS NOT NULL").join(F.broadcast(pairs), ["h", "w"]).select("h", "w", "c", "v"))
-        rows = found.toArrow()
-        key = _keys(rows)
+        """Keys of words and pairs that occur ``least`` times or more: sorted keys, counts, values.
+
+        Both words of such a pair are as frequent, or one is the start, so nothing else is needed.
+        """
+        frequent = self.words.where(F.col("c") >= least)
+        words = frequent.select("w", "c", self.single().alias("p1")).toPandas()
+        start = int(START.view(np.int64))
+        names = frequent.select(F.col("w").alias("h")).unionByName(self.spark.range(1).select(F.lit(start).alias("h")))
+        hs = self.backoff.join(F.broadcast(names), "h").toPandas().set_index("h")
+        pairs = self.pairs.where(F.col("c") >= least).select("h", "w", "c", discounted(F.col("c"), self.d2).alias("m")).toPandas()
+        la = np.log10(hs["alpha"].reindex(words["w"]).fillna(1.0).to_numpy())
+        end = words["w"].to_numpy() == int(END.view(np.int64))
+        v1 = np.log10(words["p1"].to_numpy()) - np.log10(self.unknown) + np.where(end, 0.0, la)
+        own = hs.reindex(pairs["h"])
+        p1 = words.set_index("w")["p1"].reindex(pairs["w"]).to_numpy()
+        v2 = np.log10(pairs["m"].to_numpy() / own["ch"].to_numpy() * own["z"].to_numpy()) - np.log10(own["alpha"].to_numpy()) - np.log10(p1)
+        w, h, o = (x.to_numpy().astype(np.int64).view(np.uint64) for x in (words["w"], pairs["h"], pairs["w"]))
+        key = np.concatenate([_mixed(w), pair_key(h, o)])
+        c, v = np.concatenate([words["c"].to_numpy(), np.zeros(len(pairs), np.int64)]), np.concatenate([v1, v2])
         order = np.argsort(key)
-        return key[order], rows.column("c").to_numpy()[order], rows.column("v").to_numpy()[order]
+        return key[order], c[order], v[order]
 
 
 def _keys(rows) -> np.ndarray:
