@@ -2,8 +2,9 @@
 
 Lines within one edit of each other share a variant: the line itself or the line
 with one character left out, at the same place if a character was replaced.
-One edit leaves the first or the last half of the shorter line whole, so only lines
-that share a half with another distinct line need variants at all.
+One edit leaves the first or the last half of the shorter line whole, and all but one
+of any segments; so only lines that share a half, and then all segments but one, with
+another distinct line need variants at all.
 """
 
 from __future__ import annotations
@@ -12,38 +13,100 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from quern.llm.common import small_batches, table, written
+from quern.llm.common import small_batches, table, texts, written
 
 MAX_EDITS = 1
 #: Shorter lines say little and repeat by chance; they are left alone.
 MIN_CHARS = 30
-_SPACE = r"^[\s]+|[\s]+\z"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Parts of a line of which a partner has all but one; at most MIN_CHARS - 1.
+SEGMENTS = 16
 
 
-def normal(line: Column) -> Column:
+def normal(line: bytes) -> bytes:
     """Without white space at the ends, A-Z in lower case."""
-    return F.translate(F.regexp_replace(line, _SPACE, ""), _UPPER, _LOWER)
+    return line.strip().lower()
 
 
-def long_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, norm, h) of lines long enough; documents without an id or text have none."""
-    at = F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
-    x = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", at)
-    x = x.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).where(F.length("norm") >= MIN_CHARS)
-    return x.withColumn("h", F.xxhash64("norm"))
+def _key(*parts: bytes, seed: int) -> int:
+    return xxhash.xxh64_intdigest(b"\n".join(parts), seed)
 
 
-def half_keys(norm: Column) -> Column:
-    """Keys of the halves that a partner as long, or one character shorter or longer, shares after one edit."""
-    n = F.length(norm)
+def _chars(line: bytes) -> bytes | str:
+    """The line as a sequence of code points: ASCII bytes serve as they are."""
+    return line if line.isascii() else line.decode("utf-8", "replace")
+
+
+def _raw(part: bytes | str) -> bytes:
+    return part if isinstance(part, bytes) else part.encode()
+
+
+def segment_keys(line: bytes, segments: int) -> list[int]:
+    """Keys of the line less one of its segments, for a partner as long, or one character shorter or longer.
+
+    The segments are those of the shorter line; what stands before is counted from the left,
+    what stands after from the right. An edit falls into some segment, so the rest is equal.
+    """
+    c = _chars(line)
+    n = len(c)
     keys = []
     for short in (n, n - 1):
-        half = F.floor(short / 2).cast("int")
-        keys += [F.xxhash64(short, F.lit(0), F.substring(norm, F.lit(1), half)), F.xxhash64(short, F.lit(1), F.substring(norm, n - half + 1, half))]
-    return F.array(*keys)
+        for k in range(segments):
+            start, end = k * short // segments, (k + 1) * short // segments
+            keys.append(_key(_raw(c[:start]), _raw(c[n - short + end :]), seed=short * segments + k))
+    return keys
+
+
+def _signed(x: list[int]) -> pa.Array:
+    return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+
+
+def long_lines(docs: DataFrame, text: bool) -> DataFrame:
+    """(doc_id, line_no, h) of lines long enough, with norm or with halves; documents without an id or text have none."""
+    last = "norm" if text else "halves"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, number, h, more = [], [], [], []
+            for r, t in enumerate(texts(batch)):
+                for k, line in enumerate(t.split(b"\n")):
+                    x = normal(line)
+                    if len(x) < MIN_CHARS or len(_chars(x)) < MIN_CHARS:
+                        continue
+                    rows.append(r)
+                    number.append(k)
+                    h.append(_key(x, seed=0))
+                    if text:
+                        more.append(x)
+                    else:
+                        more.extend(segment_keys(x, 2))
+            if rows:
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 4), _signed(more)) if not text else pa.array(more, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(number, pa.int32()), _signed(h), lists], ["doc_id", "line_no", "h", last])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    return found.mapInArrow(run, f"doc_id {kind}, line_no int, h long, {last} {'string' if text else 'array<long>'}")
+
+
+def with_partner(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``lines`` of which some key of keys(h, key) is that of another h too."""
+    shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    return lines.join(keys.join(shared, "key", "left_semi").select("h").distinct(), "h", "left_semi")
+
+
+def fine_keys(lines: DataFrame) -> DataFrame:
+    """(h, norm) to (h, key), a key for each of SEGMENTS left out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, line in enumerate(texts(batch, "norm")):
+                keys = _signed(segment_keys(line, SEGMENTS))
+                yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array([k] * len(keys))), keys], ["h", "key"])
+
+    return lines.select("h", "norm").mapInArrow(run, "h long, key long")
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -95,16 +158,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     earlier by (doc_id, line_no). Rows that repeat a doc_id stand at the same place.
     """
     small_batches(docs.sparkSession)
-    lines = long_lines(docs)
-    at = written(lines.select("doc_id", "line_no", "h", half_keys(F.col("norm")).alias("halves")), "lines")
+    at = written(long_lines(docs, text=False), "lines")
     first = at.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    halves = at.select("h", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    near = halves.join(shared, "half", "left_semi").select("h").distinct()
-    place = near.join(first, "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    halves = at.select("h", F.explode("halves").alias("key"))
+    near = with_partner(first, halves)
+    place = near.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     # One text per distinct line: that of its first place; repeated rows have the same one.
-    candidates = lines.join(place, ["h", "doc_id", "line_no"], "left_semi").dropDuplicates(["h"])
+    candidates = long_lines(docs, text=True).join(place, ["h", "doc_id", "line_no"], "left_semi").dropDuplicates(["h"])
     candidates = written(candidates, "candidates")
+    candidates = written(with_partner(candidates, fine_keys(candidates)), "near")
     v = written(variants(candidates), "variants")
     seat = F.struct("doc_id", "line_no", "h")
     swap = v.where("place >= 0")

@@ -125,6 +125,16 @@ def test_lines(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_segment_keys_meet_after_any_single_edit():
+    for n in (30, 31, 47, 300):
+        line = "".join(g.choice(list("abcdé "), n - 2)).join("xy")
+        for _ in range(200):
+            p = int(g.integers(n))
+            for other in (line[:p] + "Z" + line[p + 1 :], line[:p] + line[p + 1 :], line[:p] + "Z" + line[p:], line + "Z"):
+                for size in (2, lines.SEGMENTS):
+                    assert set(lines.segment_keys(line.encode(), size)) & set(lines.segment_keys(other.encode(), size))
+
+
 def test_mixing(spark):
     big = spark.createDataFrame([(k, "x" * 100, "en", None if k % 7 == 0 else f"s{k % 3}", 100) for k in range(600)], DOCS)
     out = mixing.mix(big, {"s0": 3.0, "s1": 1.0, "s2": 1.0}, period=10, block_chars=1000).toPandas()
