@@ -117,14 +117,6 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return rows.join(of, "fp")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id; rows that repeat it are dropped, rows without an id kept."""
-    found = simhash_components(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi")
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
-
-
 def op1_simhash(spark, folder: str) -> DataFrame:
     from quern.llm.common import table
 
