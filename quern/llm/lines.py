@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import small_batches, table, texts, written
 
 MAX_EDITS = 1
-#: Shorter lines say little and repeat by chance; they are left alone.
-MIN_CHARS = 30
-#: Parts of a line of which a partner has all but one; at most MIN_CHARS - 1.
+#: Parts of a line of which a partner has all but one; in shorter lines some are empty.
 SEGMENTS = 16
 
 
@@ -63,8 +61,8 @@ def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
 
 
-def long_lines(docs: DataFrame, text: bool) -> DataFrame:
-    """(doc_id, line_no, h) of lines long enough, with norm or with halves; documents without an id or text have none."""
+def filled_lines(docs: DataFrame, text: bool) -> DataFrame:
+    """(doc_id, line_no, h) of lines that aren't blank, with norm or with halves; documents without an id or text have none."""
     last = "norm" if text else "halves"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +71,7 @@ def long_lines(docs: DataFrame, text: bool) -> DataFrame:
             for r, t in enumerate(texts(batch)):
                 for k, line in enumerate(t.split(b"\n")):
                     x = normal(line)
-                    if len(x) < MIN_CHARS or len(_chars(x)) < MIN_CHARS:
+                    if not x:
                         continue
                     rows.append(r)
                     number.append(k)
@@ -158,13 +156,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     earlier by (doc_id, line_no). Rows that repeat a doc_id stand at the same place.
     """
     small_batches(docs.sparkSession)
-    at = written(long_lines(docs, text=False), "lines")
+    at = written(filled_lines(docs, text=False), "lines")
     first = at.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     halves = at.select("h", F.explode("halves").alias("key"))
     near = with_partner(first, halves)
     place = near.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     # One text per distinct line: that of its first place; repeated rows have the same one.
-    candidates = long_lines(docs, text=True).join(place, ["h", "doc_id", "line_no"], "left_semi").dropDuplicates(["h"])
+    candidates = filled_lines(docs, text=True).join(place, ["h", "doc_id", "line_no"], "left_semi").dropDuplicates(["h"])
     candidates = written(candidates, "candidates")
     candidates = written(with_partner(candidates, fine_keys(candidates)), "near")
     v = written(variants(candidates), "variants")
