@@ -5,10 +5,10 @@ of documents are sorted and cut into buckets, so a shuffle carries one row per
 batch and bucket instead of one per word. Counts are merged per bucket and written
 as tables partitioned by order; discounts come from their counts of counts.
 
-P(w | h) = d(c) c(h, w) z(h) / c(h)   for a pair seen MIN_PAIR times or more,
+P(w | h) = d(c) c(h, w) z(h) / c(h)   for a pair that was seen,
            alpha(h) P(w)              else, and P(w) recurses to single words the same way.
 
-Pairs seen less often give their mass to the backoff. alpha(h) is the mass left at
+alpha(h) is the mass left at
 h over the mass that single words have outside the pairs of h, so each history's
 probabilities, that of an unknown word included, sum to exactly one.
 """
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from quern.llm.common import crc_mod, release, small_batches, table, texts, written
 
-MIN_PAIR = 2
 #: Good-Turing discounts hold for counts up to this one.
 DISCOUNTED = 5
 #: Tokens of one packed batch.
@@ -157,7 +156,7 @@ def count_blocks(train: DataFrame, buckets: int) -> DataFrame:
 
 
 def merge_counts(dealt: DataFrame) -> DataFrame:
-    """(ord, a, b, c): 1 for words (a, count c), 2 for pairs (a, b, count c >= MIN_PAIR), 0 and -1 for counts of counts (a of c) of words and pairs."""
+    """(ord, a, b, c): 1 for words (a, count c), 2 for pairs (a, b, count c), 0 and -1 for counts of counts (a of c) of words and pairs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(order, a, b, c):
@@ -178,8 +177,7 @@ def merge_counts(dealt: DataFrame) -> DataFrame:
             if p:
                 h, w, c = _sum_pairs(*(np.concatenate(x).astype(t) for x, t in zip(zip(*p), (np.uint64, np.uint64, np.int64))))
                 yield spectrum(-1, c)
-                keep = c >= MIN_PAIR
-                yield rows(2, h[keep], w[keep], c[keep])
+                yield rows(2, h, w, c)
 
     return dealt.mapInArrow(run, "ord int, a long, b long, c long")
 
@@ -198,14 +196,11 @@ def _runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, li
         yield last, held
 
 
-def discounts(n: dict[int, int], least: int = 1) -> list[float]:
+def discounts(n: dict[int, int]) -> list[float]:
     """Katz's d(1) .. d(DISCOUNTED) from counts of counts; (r - 1/2) / r where they give none in (0, 1]."""
     out = []
     top = (DISCOUNTED + 1) * n.get(DISCOUNTED + 1, 0) / n[1] if n.get(1) else 1.0
     for r in range(1, DISCOUNTED + 1):
-        if r < least:
-            out.append(0.0)
-            continue
         star = (r + 1) * n.get(r + 1, 0) / n[r] if n.get(r) else 0.0
         d = (star / r - top) / (1 - top) if top < 1 else 0.0
         out.append(d if 0 < d <= 1 else (r - 0.5) / r)
@@ -242,7 +237,7 @@ class Katz:
             n[r["ord"]][r["a"]] = r["n"]
         self.words = self.counts.where("ord = 1").select(F.col("a").alias("w"), "c")
         self.pairs = self.counts.where("ord = 2").select(F.col("a").alias("h"), F.col("b").alias("w"), "c")
-        self.d1, self.d2 = discounts(n[0]), discounts(n[-1], MIN_PAIR)
+        self.d1, self.d2 = discounts(n[0]), discounts(n[-1])
         mass = discounted(F.col("c"), self.d1)
         self.total, self.types, kept = (x or 0 for x in self.words.agg(F.sum("c"), F.count("*"), F.sum(mass)).first())
         # What is left for unknown words; at least what one more token would be.
