@@ -1,12 +1,12 @@
-"""Repeated passages by sparse suffixes at content-selected minimiser positions.
+"""Repeated passages by a hash join at content-selected minimiser positions.
 
 A word position is kept if the hash of the KEY words from it is the least in some
 window of MIN_WORDS - KEY + 1 neighbouring positions; so every passage of
 MIN_WORDS words holds a kept position, at the same place in each of its copies.
-Kept suffixes are sorted by their first KEY words, and those whose neighbour in
-another document is equal so far are extended left and right: each passage of
-MIN_WORDS words around such a position is compared as a whole. Overlapping
-repeated passages merge into spans.
+Kept positions are grouped by the 64-bit hash of their KEY words; around those that
+another document shares, every passage of MIN_WORDS words is grouped by its own hash.
+No suffixes are sorted and no words compared: equal hashes count as equal passages.
+Overlapping repeated passages merge into spans.
 """
 
 from __future__ import annotations
