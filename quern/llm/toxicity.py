@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from quern.llm.common import crc_mod, small_batches, table, texts
-from quern.llm.quality import labelled_sample
+from quern.llm.quality import admitted_labels, labelled_sample
 
 #: Rows of either label that the fit may use.
 SAMPLE_ROWS = 4000
@@ -75,7 +75,7 @@ class Linear:
     The summaries (largest log-odds, sum, count) weigh a toxic word the same in a long text as in a short one.
     """
 
-    def __init__(self, docs: list[np.ndarray], y: np.ndarray, extra: np.ndarray):
+    def __init__(self, docs: list[np.ndarray], y: np.ndarray, extra: np.ndarray, weight: np.ndarray):
         self.features, self.odds, _ = evidence(docs, y)
         x = np.column_stack([self.summaries(docs), extra])
         self.mean, self.std = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
@@ -83,8 +83,8 @@ class Linear:
         self.w = np.zeros(z.shape[1])
         for _ in range(STEPS):
             p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            grad = z.T @ (y - p) / len(y) - RIDGE * self.w
-            hess = (z * (p * (1 - p))[:, None]).T @ z / len(y) + RIDGE * np.eye(len(self.w))
+            grad = z.T @ (weight * (y - p)) / weight.sum() - RIDGE * self.w
+            hess = (z * (weight * p * (1 - p))[:, None]).T @ z / weight.sum() + RIDGE * np.eye(len(self.w))
             step = np.linalg.solve(hess, grad)
             self.w += step
             if np.abs(step).max() < 1e-8:
@@ -115,20 +115,20 @@ def aspects(docs: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
 
 
 class Chain:
-    """Links in order: the aspects, then toxic itself."""
+    """Links in order: the aspects, then toxic itself. ``weight`` is how many labelled rows each row stands for."""
 
-    def __init__(self, docs: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray):
+    def __init__(self, docs: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray, weight: np.ndarray):
         targets = [*aspects(docs, toxic), toxic.astype(float)] if len(docs) else []
         self.links: list[Linear] = []
         seen = np.zeros((len(docs), 0))
         for y in targets:
-            out = np.full(len(docs), y.mean())
+            out = np.full(len(docs), np.average(y, weights=weight))
             for f in range(FOLDS):
                 held = np.flatnonzero(fold == f)
                 rest = np.flatnonzero(fold != f)
                 if len(held) and len(np.unique(y[rest])) == 2:
-                    out[held] = Linear([docs[i] for i in rest], y[rest], seen[rest]).predict([docs[i] for i in held], seen[held])
-            self.links.append(Linear(docs, y, seen))
+                    out[held] = Linear([docs[i] for i in rest], y[rest], seen[rest], weight[rest]).predict([docs[i] for i in held], seen[held])
+            self.links.append(Linear(docs, y, seen, weight))
             seen = np.column_stack([seen, out])
         self.folded = seen
 
@@ -141,9 +141,16 @@ class Chain:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain:
-    """Fitted on at most 2 * sample_rows labelled rows whose crc32(doc_id) mod 4 is not 2; only their hashed words come to the driver."""
+    """Fitted on at most 2 * sample_rows labelled rows whose crc32(doc_id) mod 4 is not 2; only their hashed words come to the driver.
+
+    A row weighs the inverse of its label's share in the sample, so the prior is that of all admitted labels at every size.
+    """
     small_batches(docs.sparkSession)
-    known = labelled_sample(docs, labels, "toxic", sample_rows, crc_mod("doc_id", 4) != 2)
+    train = crc_mod("doc_id", 4) != 2
+    known = labelled_sample(docs, labels, "toxic", sample_rows, train)
+    stands = np.ones(2)
+    for r in admitted_labels(labels, "toxic", train).groupBy("label").agg(F.count("*").alias("n")).collect():
+        stands[r["label"]] = max(1.0, r["n"] / sample_rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +164,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     order = np.argsort(np.array(key, dtype=np.uint64), kind="stable") if key else np.zeros(0, dtype=np.int64)
     # Equal texts share a fold, so no copy predicts its twin.
     fold = np.array([key[i] % FOLDS for i in order], dtype=np.int64)
-    return Chain([words[i] for i in order], label[order], fold)
+    return Chain([words[i] for i in order], label[order], fold, stands[label[order]])
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, columns: list[str] | None = None) -> DataFrame:
