@@ -2,20 +2,27 @@
 
 Counts and scores move through the cluster as packed blocks: the hashes of a batch
 of documents are sorted and cut into buckets, so a shuffle carries one row per
-batch and bucket instead of one per word. Counts are merged per bucket and written
-as tables partitioned by order; discounts come from their counts of counts.
+batch and bucket instead of one per word. A pair is counted in the bucket of its
+second word, where that word's own count is the sum over its pairs; pairs of words
+that a large share of all tokens are (``heavy``) are spread by both words. Counts
+are stored as one table, weights per history as another, both partitioned.
 
 P(w | h) = d(c) c(h, w) z(h) / c(h)   for a pair that was seen,
            alpha(h) P(w)              else, and P(w) recurses to single words the same way.
 
 alpha(h) is the mass left at
 h over the mass that single words have outside the pairs of h, so each history's
-probabilities, that of an unknown word included, sum to exactly one.
+probabilities, that of an unknown word included, sum to exactly one. Pairs of every
+count are kept, those seen once with their Good-Turing discount.
+
+Null and empty texts are one end token; rows that repeat count again; an empty table
+gives a model in which every word is unknown. Texts of any length go whole into one packed batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +34,12 @@ from quern.llm.common import crc_mod, release, small_batches, table, texts, writ
 
 #: Good-Turing discounts hold for counts up to this one.
 DISCOUNTED = 5
-#: Tokens of one packed batch.
-BATCH_TOKENS = 1_000_000
+#: Tokens of one packed batch, and its most documents, which have 16 bits to be numbered in.
+BATCH_TOKENS, BATCH_DOCS = 1_000_000, 60_000
 #: Text bytes per shuffle partition, and buckets per partition.
 PARTITION_BYTES, SPREAD = 24 << 20, 4
-#: Entries of the lookup table that one scoring task holds, and the least number of such tasks.
-TASK_ENTRIES, LEAST_TASKS = 2_000_000, 24
+#: A word that holds this share of the tokens of one document in HEAVY_SAMPLE has its pairs spread. This decides only where a pair is counted.
+HEAVY_SHARE, HEAVY_SAMPLE = 1 / 1024, 64
 #: Keys of at least this share of all tokens are looked up where the documents are; there are at most 2 / share of them.
 HOT_SHARE = 1 / 262144
 ADD = 0.1
@@ -89,9 +96,9 @@ def _unpack(block: bytes) -> list[np.ndarray]:
     return out
 
 
-#: Batch number of lookup blocks, which sorts before all others.
-LOOKUP = -1
+#: Rows of every exchange and table. In a bucket, batches order the rows: counts, then weights, then queries from 0 on.
 BLOCKS = "bucket int, kind string, batch long, block binary"
+COUNTS, WEIGHTS, GAINS = -(1 << 60), -(1 << 59), -(1 << 58)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -99,10 +106,29 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["bucket", "kind", "batch", "block"])
 
 
-def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Offsets of each bucket in sorted keys; a bucket is a range of hashes."""
-    edge = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
+
+
+def _cut(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of the buckets that sorted keys fall in; a bucket is a range of hashes."""
+    at = np.concatenate([[0], np.searchsorted(keys, _edges(buckets)), [len(keys)]])
+    return ((b, i, j) for b, (i, j) in enumerate(zip(at.tolist(), at[1:].tolist())) if j > i)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(_edges(buckets), keys, side="right").astype(np.int32)
+
+
+def _place(h: np.ndarray, w: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each pair: that of its word, or of the pair if the word is heavy."""
+    return _bucket(np.where(np.isin(w, heavy), pair_key(h, w), w), buckets)
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    return order, [(b, i, j) for b, (i, j) in enumerate(zip(at, at[1:])) if j > i]
 
 
 def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], pa.Table]]:
@@ -116,7 +142,7 @@ def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarra
             held += [tokens(x) for x in texts(part)]
             rows.append(part.select([c for c in part.schema.names if c != "text"]))
             size += sum(map(len, held[-part.num_rows :]))
-            if size >= BATCH_TOKENS or len(held) >= 60_000:
+            if size >= BATCH_TOKENS or len(held) >= BATCH_DOCS:
                 yield held, pa.Table.from_batches(rows)
                 held, rows, size = [], [], 0
     if held:
@@ -124,94 +150,71 @@ def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarra
 
 
 def _sum_pairs(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((w, h))
+    """Sorted by w, then h."""
+    order = np.lexsort((h, w))
     h, w, c = h[order], w[order], c[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else np.zeros(0, np.int64)
     return h[at], w[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def _sum_words(w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(w, return_inverse=True)
-    return found, np.bincount(at, weights=c, minlength=len(found)).astype(np.int64)
+def _pack_pairs(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    hs, of = np.unique(h, return_inverse=True)
+    return _pack(w[at], np.diff(np.append(at, len(w))).astype(np.uint32), hs, of.astype(np.uint32), c.astype(np.uint32) if c.max() < 1 << 32 else c.astype(np.int64))
 
 
-def count_blocks(train: DataFrame, buckets: int) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, _ in _batches(batches):
-            t = np.concatenate(docs)
-            w, c = np.unique(t, return_counts=True)
-            cut = _cut(w, buckets)
-            out = [(b, "u", 0, _pack(w[i:j], c[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-            h, w, c = _sum_pairs(np.concatenate([histories(d) for d in docs]), t, np.ones(len(t), dtype=np.int64))
-            cut = _cut(h, buckets)
-            for b, (i, j) in enumerate(zip(cut, cut[1:])):
-                if j > i:
-                    hs, runs = np.unique(h[i:j], return_counts=True)
-                    ws, at = np.unique(w[i:j], return_inverse=True)
-                    out.append((b, "b", 0, _pack(hs, runs.astype(np.uint32), ws, at.astype(np.uint32), c[i:j].astype(np.uint32))))
-            yield _rows(out)
+class Pairs:
+    """The unpacked counts of a bucket: words and their runs of pairs, histories and where each pair's stands."""
 
-    return train.select("text").mapInArrow(run, BLOCKS)
+    def __init__(self, block: bytes):
+        self.words, runs, self.histories, self.of, c = _unpack(block)
+        self.c = c.astype(np.int64)
+        self.word = np.repeat(np.arange(len(self.words)), runs)
 
+    def counts(self, heavy: np.ndarray, heavy_counts: np.ndarray) -> np.ndarray:
+        """How often each word occurs in all."""
+        own = np.bincount(self.word, weights=self.c, minlength=len(self.words)).astype(np.int64)
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, self.words), len(heavy) - 1)
+            own = np.where(heavy[at] == self.words, heavy_counts[at], own)
+        return own
 
-def merge_counts(dealt: DataFrame) -> DataFrame:
-    """(ord, a, b, c): 1 for words (a, count c), 2 for pairs (a, b, count c), 0 and -1 for counts of counts (a of c) of words and pairs."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(order, a, b, c):
-            n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, order, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(c.astype(np.int64))], ["ord", "a", "b", "c"])
-        def spectrum(order, c):
-            n = np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
-            r = np.arange(len(n), dtype=np.int64)
-            return rows(order, r[1:], np.zeros(len(n) - 1, np.int64), n[1:])
-
-        for _, part in _runs(batches, "bucket"):
-            u = [_unpack(block) for kind, block in part if kind == "u"]
-            p = [(np.repeat(hs, runs), ws[at], c) for hs, runs, ws, at, c in (_unpack(block) for kind, block in part if kind == "b")]
-            if u:
-                w, c = _sum_words(*(np.concatenate(x) for x in zip(*u)))
-                yield rows(1, w, np.zeros(len(w), np.uint64), c)
-                yield spectrum(0, c)
-            if p:
-                h, w, c = _sum_pairs(*(np.concatenate(x).astype(t) for x, t in zip(zip(*p), (np.uint64, np.uint64, np.int64))))
-                yield spectrum(-1, c)
-                yield rows(2, h, w, c)
-
-    return dealt.mapInArrow(run, "ord int, a long, b long, c long")
-
-
-def _runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
-    """(kind, block) rows of each value of a sorted column."""
-    last, held = None, []
+def _in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, str, int, bytes]]:
     for batch in batches:
-        for k, kind, block in zip(*(batch.column(c).to_pylist() for c in (key, "kind", "block"))):
-            if k != last and held:
-                yield last, held
-                held = []
-            last = k
-            held.append((kind, block))
+        yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "batch", "block")))
+
+
+def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[str, int, bytes]]]]:
+    """The rows of each bucket, which stand together."""
+    last, held = None, []
+    for bucket, *row in _in_order(batches):
+        if bucket != last and held:
+            yield last, held
+            held = []
+        last = bucket
+        held.append(tuple(row))
     if held:
         yield last, held
 
 
-def discounts(n: dict[int, int]) -> list[float]:
-    """Katz's d(1) .. d(DISCOUNTED) from counts of counts; (r - 1/2) / r where they give none in (0, 1]."""
-    out = []
+def discounts(n: dict[int, int]) -> np.ndarray:
+    """Katz's d(1) .. d(DISCOUNTED) from counts of counts, (r - 1/2) / r where they give none in (0, 1]; 1 on either side."""
+    out = np.ones(DISCOUNTED + 2)
     top = (DISCOUNTED + 1) * n.get(DISCOUNTED + 1, 0) / n[1] if n.get(1) else 1.0
     for r in range(1, DISCOUNTED + 1):
         star = (r + 1) * n.get(r + 1, 0) / n[r] if n.get(r) else 0.0
         d = (star / r - top) / (1 - top) if top < 1 else 0.0
-        out.append(d if 0 < d <= 1 else (r - 0.5) / r)
+        out[r] = d if 0 < d <= 1 else (r - 0.5) / r
     return out
 
 
-def discounted(c, d: list[float]):
-    kept = F.lit(1.0)
-    for r, x in enumerate(d, 1):
-        kept = F.when(c == r, x).otherwise(kept)
-    return kept * c
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return c * d[np.minimum(c, DISCOUNTED + 1)]
+
+
+def _single(c: np.ndarray, d: np.ndarray, scale: float) -> np.ndarray:
+    return discounted(c, d) * scale
 
 
 def partitions(docs: DataFrame) -> int:
@@ -219,8 +222,27 @@ def partitions(docs: DataFrame) -> int:
     return max(8, -(-int(size) // PARTITION_BYTES))
 
 
+def heavy_words(train: DataFrame) -> np.ndarray:
+    """Sorted words of a large share of a sample of whole documents; at most 2 / HEAVY_SHARE for each that is large by itself."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, _ in _batches(batches):
+            t = np.concatenate(held)
+            w, c = np.unique(t, return_counts=True)
+            large = c >= max(2, len(t) * HEAVY_SHARE / 2)
+            rows = pa.array(np.append(w[large], np.uint64(0)).view(np.int64)), pa.array(np.append(c[large], len(t)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(np.append(np.zeros(large.sum(), bool), True))], ["w", "c", "all_tokens"])
+
+    sample = train.select("text").where(F.pmod(F.xxhash64("text"), F.lit(HEAVY_SAMPLE)) == 0)
+    found = sample.mapInArrow(run, "w long, c long, all_tokens boolean").groupBy("w", "all_tokens").agg(F.sum("c").alias("c"))
+    total = found.where("all_tokens").select(F.col("c").alias("total"))
+    # One row, so its broadcast is bounded.
+    large = found.where("NOT all_tokens").join(F.broadcast(total)).where(F.col("c") >= F.col("total") * HEAVY_SHARE).select("w").toArrow()
+    return np.sort(large.column("w").to_numpy().view(np.uint64))
+
+
 class Katz:
-    """A fitted model: the count tables, and the few numbers that every task needs."""
+    """A fitted model: tables of counts and of weights, and the few numbers that every task needs."""
 
     def __init__(self, train: DataFrame):
         """train(text), null as empty."""
@@ -228,88 +250,157 @@ class Katz:
         small_batches(self.spark)
         self.parts = partitions(train)
         self.buckets = SPREAD * self.parts
-        self.n_docs = train.count()
-        counts = merge_counts(count_blocks(train, self.buckets).repartition(self.parts, "bucket").sortWithinPartitions("bucket"))
-        self.counts = written(counts, "ngrams", by="ord")
+        self.heavy = heavy_words(train)
+        merged = self._count(train).repartition(self.parts, "bucket").sortWithinPartitions("bucket")
+        self.counts = written(self._merge(merged), "ngrams", by="ord")
         release(self.spark)
-        n: dict[int, dict[int, int]] = {0: {}, -1: {}}
-        for r in self.counts.where("ord <= 0").groupBy("ord", "a").agg(F.sum("c").alias("n")).collect():
-            n[r["ord"]][r["a"]] = r["n"]
-        self.words = self.counts.where("ord = 1").select(F.col("a").alias("w"), "c")
-        self.pairs = self.counts.where("ord = 2").select(F.col("a").alias("h"), F.col("b").alias("w"), "c")
-        self.d1, self.d2 = discounts(n[0]), discounts(n[-1])
-        mass = discounted(F.col("c"), self.d1)
-        self.total, self.types, kept = (x or 0 for x in self.words.agg(F.sum("c"), F.count("*"), F.sum(mass)).first())
+        # At most 2 * (DISCOUNTED + 1) spectrum rows, the heavy words, and two totals.
+        found = self.counts.where("ord = 0").groupBy("kind", "a").agg(F.sum("n").alias("n")).collect()
+        n = {k: {r["a"]: r["n"] for r in found if r["kind"] == k} for k in ("words", "pairs", "heavy", "tokens", "types", "all pairs")}
+        self.heavy_counts = np.array([n["heavy"].get(int(w), 0) for w in self.heavy.view(np.int64)], dtype=np.int64)
+        for c in self.heavy_counts[self.heavy_counts <= DISCOUNTED + 1].tolist():
+            n["words"][c] = n["words"].get(c, 0) + 1
+        self.total, self.n_pairs = n["tokens"].get(0, 0), n["all pairs"].get(0, 0)
+        self.types = n["types"].get(0, 0) + int((self.heavy_counts > 0).sum())
+        self.d1, self.d2 = discounts(n["words"]), discounts(n["pairs"])
+        kept = self.total - sum(n["words"].get(r, 0) * r * (1 - self.d1[r]) for r in range(1, DISCOUNTED + 1))
         # What is left for unknown words; at least what one more token would be.
         self.unknown = max(1 - kept / self.total, 1 / (self.total + 1)) if self.total else 1.0
-        self.z1 = (1 - self.unknown) / (kept / self.total) if self.total else 1.0
-        self.n_pairs = self.pairs.count()
-        self.backoff = written(self._backoff(), "backoff")
+        self.scale = (1 - self.unknown) / kept if self.total else 1.0
+        #: P(w) of words by their counts.
+        self.single = partial(_single, d=self.d1, scale=self.scale)
+        self.weights = written(self._weigh(), "weights", by="kind")
         release(self.spark)
 
-    def histories(self) -> DataFrame:
-        """(h, ch): how often each word, or the start, is a history."""
-        start = self.spark.range(1 if self.n_docs else 0).select(F.lit(int(START.view(np.int64))).alias("h"), F.lit(self.n_docs).cast("long").alias("ch"))
-        return self.words.select(F.col("w").alias("h"), F.col("c").alias("ch")).unionByName(start)
+    def _count(self, train: DataFrame) -> DataFrame:
+        buckets, heavy = self.buckets, self.heavy
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for docs, _ in _batches(batches):
+                t = np.concatenate(docs)
+                h, w, c = _sum_pairs(np.concatenate([histories(d) for d in docs]), t, np.ones(len(t), dtype=np.int64))
+                order, cut = _by_bucket(_place(h, w, heavy, buckets), buckets)
+                h, w, c = h[order], w[order], c[order]
+                yield _rows([(b, "pairs", 0, _pack_pairs(h[i:j], w[i:j], c[i:j])) for b, i, j in cut])
 
-    def single(self):
-        return discounted(F.col("c"), self.d1) * (self.z1 / max(self.total, 1))
+        return train.select("text").mapInArrow(run, BLOCKS)
 
-    def _known_pairs(self) -> DataFrame:
-        return self.pairs.join(self.words.select("w", self.single().alias("p1")), "w")
+    def _merge(self, dealt: DataFrame) -> DataFrame:
+        """Blocks of merged counts (ord 2) and figures (ord 0)."""
+        heavy = self.heavy
 
-    def _backoff(self) -> DataFrame:
-        """(h, ch, z, alpha) of histories that have pairs."""
-        sums = self._known_pairs().groupBy("h").agg(F.sum(discounted(F.col("c"), self.d2)).alias("s"), F.sum("p1").alias("s1"))
-        x = sums.join(self.histories(), "h").withColumn("share", F.col("s") / F.col("ch"))
-        x = x.withColumn("left", F.greatest(1 - F.col("share"), 1 / (F.col("ch") + 1)))
-        return x.select("h", "ch", ((1 - F.col("left")) / F.col("share")).alias("z"), (F.col("left") / (1 - F.col("s1"))).alias("alpha"))
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, rows in _grouped(batches):
+                parts = [Pairs(block) for *_, block in rows]
+                h, w, c = _sum_pairs(*(np.concatenate(x) for x in zip(*((p.histories[p.of], p.words[p.word], p.c) for p in parts))))
+                del parts
+                word, own = np.unique(w, return_inverse=True)
+                own = np.bincount(own, weights=c).astype(np.int64)
+                large = np.isin(word, heavy)
+                figures = [("tokens", 0, int(c.sum())), ("types", 0, int((~large).sum())), ("all pairs", 0, len(c))]
+                figures += [("heavy", a, n) for a, n in zip(word[large].view(np.int64).tolist(), own[large].tolist())]
+                for kind, x in (("words", own[~large]), ("pairs", c)):
+                    figures += [(kind, r, n) for r, n in enumerate(np.bincount(x[x <= DISCOUNTED + 1], minlength=1).tolist()) if r and n]
+                m = len(figures)
+                columns = [[bucket] * (m + 1), [k for k, *_ in figures] + ["block"], [a for _, a, _ in figures] + [0], [n for *_, n in figures] + [0], [None] * m + [_pack_pairs(h, w, c)], [0] * m + [2]]
+                types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["bucket", "kind", "a", "n", "block", "ord"])
+
+        return dealt.mapInArrow(run, "bucket int, kind string, a long, n long, block binary, ord int")
+
+    def _count_blocks(self) -> DataFrame:
+        return self.counts.where("ord = 2").select("bucket", F.lit("pairs").alias("kind"), F.lit(COUNTS).alias("batch"), "block")
+
+    def _weigh(self) -> DataFrame:
+        """Weights of each history ("weights", in its bucket), and what each bucket of pairs needs of its histories ("gains", in order of its histories)."""
+        buckets, heavy, heavy_counts, single, d2 = self.buckets, self.heavy, self.heavy_counts, self.single, self.d2
 
-    def lookups(self) -> DataFrame:
-        """(h, w, c, v): what a token adds to the score of a text of unknown words alone.
+        def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, _, _, block in _in_order(batches):
+                p = Pairs(block)
+                p1 = single(p.counts(heavy, heavy_counts))[p.word]
+                ch, kept, p1 = (np.bincount(p.of, weights=x, minlength=len(p.histories)) for x in (p.c, discounted(p.c, d2), p1))
+                yield _rows([(b, "sums", bucket, _pack(p.histories[i:j], ch[i:j].astype(np.int64), kept[i:j], p1[i:j])) for b, i, j in _cut(p.histories, buckets)])
 
-        A word (h null) adds its own log over an unknown word's, and its alpha as
-        history of the next; a pair adds what it has over backing off. c is the count of
-        a word, 0 for a pair.
+        def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, rows in _grouped(batches):
+                sums = [_unpack(block) for *_, block in rows]
+                h, of = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
+                ch, kept, p1 = (np.bincount(of, weights=np.concatenate([s[k] for s in sums])) for k in (1, 2, 3))
+                left = np.maximum(1 - kept / ch, 1 / (ch + 1))
+                z, alpha = (1 - left) * ch / kept, left / (1 - p1)
+                gain = np.log10(z / ch) - np.log10(alpha)
+                ends = np.cumsum([len(s[0]) for s in sums])
+                yield _rows([(bucket, "weights", WEIGHTS, _pack(h, ch.astype(np.int64), z, alpha)), *((to, "gains", GAINS + bucket, _pack(gain[at])) for (_, to, _), at in zip(rows, np.split(of, ends[:-1])))])
+
+        asked = self._count_blocks().mapInArrow(ask, BLOCKS)
+        return asked.repartition(self.parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(answer, BLOCKS)
+
+    def _model(self) -> DataFrame:
+        return self._count_blocks().unionByName(self.weights)
+
+    def _lookups(self):
+        """A function from the model's rows of a bucket to sorted keys, their counts (0 for pairs), how often they occur, and their values.
+
+        Values are what a token adds to the score of a text of unknown words alone: a word its own log over an
+        unknown word's, and its alpha as history of the next; a pair what it has over backing off.
         """
-        hs = self.backoff
-        v2 = F.log10(discounted(F.col("c"), self.d2) / F.col("ch") * F.col("z")) - F.log10("alpha") - F.log10("p1")
-        two = self._known_pairs().join(hs, "h").select("h", "w", F.lit(0).cast("long").alias("c"), v2.alias("v"))
-        alpha = hs.select(F.col("h").alias("w"), F.log10("alpha").alias("la"))
-        one = self.words.join(alpha, "w", "left")
-        own = F.log10(self.single()) - float(np.log10(self.unknown))
-        end = F.col("w") == int(END.view(np.int64))
-        one = one.select(F.lit(None).cast("long").alias("h"), "w", "c", (own + F.when(end, 0.0).otherwise(F.coalesce("la", F.lit(0.0)))).alias("v"))
-        return one.unionByName(two)
-
-    def start_alpha(self) -> float:
+        buckets, heavy, heavy_counts, single, d2, unknown = self.buckets, self.heavy, self.heavy_counts, self.single, self.d2, self.unknown
+
+        def made(bucket: int, rows: list[tuple[str, int, bytes]]) -> list[np.ndarray]:
+            word, c = heavy[home := _bucket(heavy, buckets) == bucket], heavy_counts[home]
+            key, often, value = (np.zeros(0, t) for t in (np.uint64, np.int64, np.float64))
+            blocks = [block for kind, _, block in rows if kind == "pairs"]
+            if blocks:
+                p = Pairs(blocks[0])
+                own = p.counts(heavy, heavy_counts)
+                gains = np.concatenate([_unpack(block)[0] for kind, _, block in rows if kind == "gains"])
+                key, often = pair_key(p.histories[p.of], p.words[p.word]), p.c
+                value = np.log10(discounted(p.c, d2)) + gains[p.of] - np.log10(single(own))[p.word]
+                here = ~np.isin(p.words, heavy)
+                word, c = np.concatenate([word, p.words[here]]), np.concatenate([c, own[here]])
+            v = np.log10(single(c)) - np.log10(unknown)
+            for block in (block for kind, _, block in rows if kind == "weights"):
+                h, _, _, alpha = _unpack(block)
+                at = np.minimum(np.searchsorted(h, word), len(h) - 1)
+                v = v + np.where(h[at] == word, np.log10(alpha[at]), 0.0)
+            key = np.concatenate([_mixed(word), key])
+            order = np.argsort(key)
+            return [key[order], np.concatenate([c, np.zeros(len(often), np.int64)])[order], np.concatenate([c, often])[order], np.concatenate([v, value])[order]]
+
+        return made
+
+    def _start_alpha(self) -> float:
         """log10 alpha of the start, which every text has once."""
-        row = self.backoff.where(F.col("h") == int(START.view(np.int64))).select(F.log10("alpha")).first()
-        return float(row[0]) if row else 0.0
-
-    def lookup_blocks(self) -> DataFrame:
-        buckets = self.buckets
+        home = int(_bucket(np.array([START]), self.buckets)[0])
+        for (block,) in self.weights.where((F.col("kind") == "weights") & (F.col("bucket") == home)).select("block").collect():
+            h, _, _, alpha = _unpack(block)
+            found = alpha[h == START]
+            if len(found):
+                return float(np.log10(found[0]))
+        return 0.0
+
+    def _hot(self, least: int) -> list[np.ndarray]:
+        """Sorted keys, counts and values of heavy words, and of words and pairs that occur ``least`` times or more."""
+        made, heavy = self._lookups(), _mixed(self.heavy)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                key, c, v = _keys(batch), batch.column("c").to_numpy(), batch.column("v").to_numpy()
-                order = np.argsort(key)
-                key, c, v = key[order], c[order].astype(np.uint64), v[order]
-                cut = _cut(key, buckets)
-                yield _rows([(b, "t", LOOKUP, _pack(key[i:j], c[i:j].view(np.int64), v[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
+            for bucket, rows in _grouped(batches):
+                key, c, often, v = made(bucket, rows)
+                top = (often >= least) | np.isin(key, heavy)
+                yield pa.RecordBatch.from_arrays([pa.array(key[top].view(np.int64)), pa.array(c[top]), pa.array(v[top])], ["key", "c", "v"])
 
-        return self.lookups().mapInArrow(run, BLOCKS)
+        rows = self._model().repartition(self.parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, "key long, c long, v double").toArrow()
+        key, c, v = rows.column("key").to_numpy().view(np.uint64), rows.column("c").to_numpy(), rows.column("v").to_numpy()
+        key, at = np.unique(key, return_index=True)
+        return [key, c[at], v[at]]
 
     def score(self, docs: DataFrame) -> DataFrame:
         """docs(doc_id, text) to (doc_id, n_tokens, n_known, base_score, score), one row per row. Null texts count as empty: one end token."""
-        spark, buckets = self.spark, self.buckets
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 17)
-        table_blocks = written(self.lookup_blocks(), "lookups")
+        spark, buckets, heavy, made = self.spark, self.buckets, self.heavy, self._lookups()
         small_batches(spark)
+        shared = spark.sparkContext.broadcast(self._hot(max(1, int(self.total * HOT_SHARE))))
         release(spark)
-        least = max(1, int(self.total * HOT_SHARE))
-        hot = self._hot(least)
-        shared = spark.sparkContext.broadcast(hot)
         add = float(np.log10(ADD))
 
         def gains(c: np.ndarray) -> np.ndarray:
@@ -321,9 +412,8 @@ class Katz:
             for k, (held, rows) in enumerate(_batches(batches)):
                 batch = part + k
                 size = np.array([len(d) for d in held])
-                t = np.concatenate(held)
-                key = np.concatenate([_mixed(t), pair_key(np.concatenate([histories(d) for d in held]), t)])
-                doc = np.tile(np.repeat(np.arange(len(held)), size), 2)
+                t, h = np.concatenate(held), np.concatenate([histories(d) for d in held])
+                key, doc = np.concatenate([_mixed(t), pair_key(h, t)]), np.tile(np.repeat(np.arange(len(held)), size), 2)
                 at = np.minimum(np.searchsorted(hot_key, key), max(len(hot_key) - 1, 0))
                 known = hot_key[at] == key if len(hot_key) else np.zeros(len(key), bool)
                 c, v, d = hot_c[at[known]], hot_v[at[known]], doc[known]
@@ -332,102 +422,67 @@ class Katz:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as w:
                     w.write_batch(pa.RecordBatch.from_arrays([ids], ["doc_id"]))
-                out = [(k % buckets, "d", batch, sink.getvalue().to_pybytes()), (k % buckets, "s", batch, _pack(np.arange(len(held)).astype(np.uint32), total(v), total(gains(c)), total(c > 0).astype(np.uint32), size.astype(np.uint32)))]
+                sums = _pack(np.arange(len(held)).astype(np.uint32), total(v), total(gains(c)), total(c > 0).astype(np.uint32), size.astype(np.uint32))
+                out = [(k % buckets, "ids", batch, sink.getvalue().to_pybytes()), (k % buckets, "sums", batch, sums)]
+                bucket = np.concatenate([_bucket(t, buckets), _place(h, t, heavy, buckets)])[~known]
                 key, doc = key[~known], doc[~known]
-                order = np.argsort(key, kind="stable")
-                key, doc = key[order], doc[order]
-                cut = _cut(key, buckets)
-                for b, (i, j) in enumerate(zip(cut, cut[1:])):
+                order = np.lexsort((key, bucket))
+                key, doc, bucket = key[order], doc[order], bucket[order]
+                at = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+                for b, (i, j) in enumerate(zip(at, at[1:])):
                     if j > i:
-                        ks, runs = np.unique(key[i:j], return_counts=True)
-                        out.append((b, "q", batch, _pack(ks, runs.astype(np.uint32), doc[i:j].astype(np.uint16))))
+                        new = np.flatnonzero(np.concatenate([[True], key[i + 1 : j] != key[i : j - 1]]))
+                        out.append((b, "asked", batch, _pack(key[i:j][new], np.diff(np.append(new, j - i)).astype(np.uint32), doc[i:j].astype(np.uint16))))
                 yield _rows(out)
 
         def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: list[list[np.ndarray]] = []
-            key = c = v = None
-            for number, part in _runs(batches, "batch"):
-                if number == LOOKUP:
-                    known += [_unpack(block) for _, block in part]
-                    continue
-                if key is None:
-                    key, c, v = (np.concatenate(x) for x in zip(*known)) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
-                    order, known = np.argsort(key), []
-                    key, c, v = key[order], c[order], v[order]
-                yield _rows([(0, kind, number, block) for kind, block in part if kind != "q"])
-                docs_, vs, cs = [], [], []
-                for ks, runs, doc in (_unpack(block) for kind, block in part if kind == "q"):
+            last, model, found = None, [], None
+            for bucket, kind, batch, block in _in_order(batches):
+                if bucket != last:
+                    last, model, found = bucket, [], None
+                if batch < 0:
+                    model.append((kind, batch, block))
+                elif kind != "asked":
+                    yield _rows([(0, kind, batch, block)])
+                else:
+                    if found is None:
+                        found, model = made(bucket, model), []
+                    key, c, _, v = found
+                    ks, runs, doc = _unpack(block)
                     at = np.minimum(np.searchsorted(key, ks), max(len(key) - 1, 0))
                     hit = key[at] == ks if len(key) else np.zeros(len(ks), bool)
-                    each = np.repeat(hit, runs)
-                    pos = np.repeat(at, runs)[each]
-                    docs_.append(doc[each])
-                    vs.append(v[pos])
-                    cs.append(c[pos])
-                if docs_:
-                    doc, vs, cs = map(np.concatenate, (docs_, vs, cs))
-                    ids, inverse = np.unique(doc, return_inverse=True)
-                    total = lambda x: np.bincount(inverse, weights=x, minlength=len(ids))  # noqa: B023,E731
-                    yield _rows([(0, "s", number, _pack(ids.astype(np.uint32), total(vs), total(gains(cs)), total(cs > 0).astype(np.uint32), np.zeros(len(ids), np.uint32)))])
+                    pos, doc = np.repeat(at[hit], runs[hit]), doc[np.repeat(hit, runs)]
+                    if len(doc):
+                        ids, of = np.unique(doc, return_inverse=True)
+                        total = lambda x: np.bincount(of, weights=x, minlength=len(ids))  # noqa: B023,E731
+                        counts = c[pos]
+                        yield _rows([(0, "sums", batch, _pack(ids.astype(np.uint32), total(v[pos]), total(gains(counts)), total(counts > 0).astype(np.uint32), np.zeros(len(ids), np.uint32)))])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
 
         def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [(k, n, b) for batch in batches for k, n, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "batch", "block")))]
-            for number, blocks in _by_batch([r for r in rows if r[0] == "s"]):
-                ids = pa.ipc.open_stream(next(b for k, n, b in rows if k == "d" and n == number)).read_all().column("doc_id").combine_chunks()
-                v, g, known, size = (np.zeros(len(ids)) for _ in range(4))
+            ids, sums = {}, {}
+            for _, kind, batch, block in _in_order(batches):
+                if kind == "ids":
+                    ids[batch] = pa.ipc.open_stream(block).read_all().column("doc_id").combine_chunks()
+                else:
+                    sums.setdefault(batch, []).append(block)
+            for batch, blocks in sums.items():
+                total = [np.zeros(len(ids[batch])) for _ in range(4)]
                 for block in blocks:
-                    at, *sums = _unpack(block)
-                    for into, x in zip((v, g, known, size), sums):
-                        np.add.at(into, at, x)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(g), pa.array(v)], ["doc_id", "n_tokens", "n_known", "g", "v"])
+                    at, *some = _unpack(block)
+                    for into, x in zip(total, some):
+                        into[at] += x
+                v, g, known, size = total
+                yield pa.RecordBatch.from_arrays([ids[batch], pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(g), pa.array(v)], ["doc_id", "n_tokens", "n_known", "g", "v"])
 
         asked = docs.select("doc_id", "text").mapInArrow(ask, BLOCKS)
-        tasks = max(LEAST_TASKS, -(-(self.types + self.n_pairs) // TASK_ENTRIES))
-        answered = asked.unionByName(table_blocks).repartition(tasks, "bucket").sortWithinPartitions("batch").mapInArrow(answer, BLOCKS)
-        sums = answered.repartition(self.parts, "batch").mapInArrow(gather, f"doc_id {kind}, n_tokens long, n_known long, g double, v double")
+        tasks = max(self.parts, partitions(docs))
+        answered = asked.unionByName(self._model()).repartition(tasks, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(answer, BLOCKS)
+        sums = answered.repartition(tasks, "batch").mapInArrow(gather, f"doc_id {kind}, n_tokens long, n_known long, g double, v double")
         floor = add - float(np.log10(self.total + ADD * (self.types + 1)))
         alone = float(np.log10(self.unknown))
-        return sums.select("doc_id", "n_tokens", "n_known", (F.col("n_tokens") * floor + F.col("g")).alias("base_score"), (F.col("n_tokens") * alone + F.col("v") + self.start_alpha()).alias("score"))
-
-    def _hot(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of words and pairs that occur ``least`` times or more: sorted keys, counts, values.
-
-        Both words of such a pair are as frequent, or one is the start, so nothing else is needed.
-        """
-        frequent = self.words.where(F.col("c") >= least)
-        words = frequent.select("w", "c", self.single().alias("p1")).toPandas()
-        start = int(START.view(np.int64))
-        names = frequent.select(F.col("w").alias("h")).unionByName(self.spark.range(1).select(F.lit(start).alias("h")))
-        hs = self.backoff.join(F.broadcast(names), "h").toPandas().set_index("h")
-        pairs = self.pairs.where(F.col("c") >= least).select("h", "w", "c", discounted(F.col("c"), self.d2).alias("m")).toPandas()
-        la = np.log10(hs["alpha"].reindex(words["w"]).fillna(1.0).to_numpy())
-        end = words["w"].to_numpy() == int(END.view(np.int64))
-        v1 = np.log10(words["p1"].to_numpy()) - np.log10(self.unknown) + np.where(end, 0.0, la)
-        own = hs.reindex(pairs["h"])
-        p1 = words.set_index("w")["p1"].reindex(pairs["w"]).to_numpy()
-        v2 = np.log10(pairs["m"].to_numpy() / own["ch"].to_numpy() * own["z"].to_numpy()) - np.log10(own["alpha"].to_numpy()) - np.log10(p1)
-        w, h, o = (x.to_numpy().astype(np.int64).view(np.uint64) for x in (words["w"], pairs["h"], pairs["w"]))
-        key = np.concatenate([_mixed(w), pair_key(h, o)])
-        c, v = np.concatenate([words["c"].to_numpy(), np.zeros(len(pairs), np.int64)]), np.concatenate([v1, v2])
-        order = np.argsort(key)
-        return key[order], c[order], v[order]
-
-
-def _keys(rows) -> np.ndarray:
-    w = np.asarray(rows.column("w").to_numpy()).view(np.uint64)
-    h = rows.column("h")
-    pair = np.asarray(h.is_valid().to_numpy(zero_copy_only=False) if isinstance(h, pa.Array) else h.is_valid().to_numpy())
-    hs = np.asarray(h.fill_null(0).to_numpy()).view(np.uint64)
-    return np.where(pair, pair_key(hs, w), _mixed(w))
-
-
-def _by_batch(rows: list[tuple]) -> Iterator[tuple[int, list[bytes]]]:
-    found: dict[int, list[bytes]] = {}
-    for _, number, block in rows:
-        found.setdefault(number, []).append(block)
-    yield from found.items()
+        return sums.select("doc_id", "n_tokens", "n_known", (F.col("n_tokens") * floor + F.col("g")).alias("base_score"), (F.col("n_tokens") * alone + F.col("v") + self._start_alpha()).alias("score"))
 
 
 def op3_katz(spark, folder: str) -> DataFrame:

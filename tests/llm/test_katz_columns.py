@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from quern.llm import katz
 
 
@@ -51,15 +52,56 @@ def plain_scores(train, texts):
     return out
 
 
-def test_scores(spark):
+def corpus():
     g = np.random.default_rng(8)
     vocab = [f"w{k}" for k in range(60)]
     draw = lambda n: " ".join(vocab[min(59, int(g.exponential(12)))] for _ in range(n))
     train = [draw(int(n)) for n in g.integers(1, 60, 40)] + ["", None, "Only here once"]
-    texts = [*train[:8], draw(50), "never seen words", "w1 unseen w2", "", None, "only here twice"]
+    return train, [*train[:8], draw(50), "never seen words", "w1 unseen w2", "", None, "only here twice", draw(20_000)]
+
+
+@pytest.mark.parametrize("heavy, hot", [(False, True), (True, True), (True, False)])
+def test_scores(spark, monkeypatch, heavy, hot):
+    """Also with words spread over all buckets, and with every key asked for where it was counted."""
+    if heavy:
+        monkeypatch.setattr(katz, "HEAVY_SAMPLE", 1)
+        monkeypatch.setattr(katz, "HEAVY_SHARE", 1 / 40)
+    if not hot:
+        monkeypatch.setattr(katz, "HOT_SHARE", 2)
+    train, texts = corpus()
     frame = lambda t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     model = katz.Katz(frame(train).select("text"))
+    assert (len(model.heavy) > 5) == heavy
     found = {r["doc_id"]: r for r in model.score(frame(texts)).collect()}
     for k, want in enumerate(plain_scores(train, texts)):
         got = tuple(found[k][c] for c in ("n_tokens", "n_known", "base_score", "score"))
         assert got[:2] == want[:2] and np.allclose(got[2:], want[2:], rtol=1e-9), (k, got, want)
+
+
+def test_every_history_sums_to_one(spark):
+    train, _ = corpus()
+    frame = spark.createDataFrame([(t,) for t in train], "text string")
+    model = katz.Katz(frame)
+    blocks = [katz.Pairs(r["block"]) for r in model.counts.where("ord = 2").collect()]
+    p1 = {w: p for b in blocks for w, p in zip(b.words.tolist(), model.single(b.counts(model.heavy, model.heavy_counts)))}
+    assert abs(sum(p1.values()) + model.unknown - 1) < 1e-9
+    rows = [katz._unpack(r["block"]) for r in model.weights.where("kind = 'weights'").collect()]
+    weights = {h: (ch, z, alpha) for hs, chs, zs, alphas in rows for h, ch, z, alpha in zip(hs.tolist(), chs.tolist(), zs, alphas)}
+    mass = {h: alpha for h, (*_, alpha) in weights.items()}
+    for b in blocks:
+        for h, w, c in zip(b.histories[b.of].tolist(), b.words[b.word].tolist(), b.c):
+            ch, z, alpha = weights[h]
+            mass[h] += katz.discounted(c, model.d2) * z / ch - alpha * p1[w]
+    assert len(mass) > 40 and all(abs(m - 1) < 1e-9 for m in mass.values())
+
+
+def test_no_rows_and_odd_rows(spark):
+    """No training rows: every word is unknown. Null ids, repeated rows and extra columns pass."""
+    none = spark.createDataFrame([], "text string")
+    rows = [(1, "a b", 1, "x"), (1, "a b", 1, "x"), (None, None, 2, "y"), (2, "", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, batch long, kind string")
+    assert katz.Katz(none).score(docs.select("doc_id", "text").where("false")).count() == 0
+    found = katz.Katz(none).score(docs).collect()
+    assert len(found) == 4 and all(r["n_known"] == 0 for r in found)
+    found = katz.Katz(docs).score(docs).collect()
+    assert sorted(r["n_tokens"] for r in found) == [1, 1, 3, 3] and all(r["n_known"] == r["n_tokens"] for r in found)

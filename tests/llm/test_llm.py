@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from quern.llm import decontaminate, embeddings, katz, lines, mixing, quality, repeats, secrets, simhash, toxicity
+from quern.llm import decontaminate, embeddings, lines, mixing, quality, repeats, secrets, simhash, toxicity
 from quern.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,20 +164,6 @@ def test_repeats(spark, docs):
     assert cut[7] == " ".join(TEXTS[7].split()[60:]) and cut[1] == "" and cut[8] == TEXTS[8]
 
 
-def test_katz_sums_to_one(spark, docs):
-    model = katz.Katz(docs.select("text"))
-    found = model.score(docs)
-    assert found.count() == docs.count()
-    one = {r["doc_id"]: r for r in found.collect()}
-    assert one[3]["n_tokens"] == one[4]["n_tokens"] == 1 and one[5]["n_tokens"] == 2 and all(r["score"] < 0 for r in one.values())
-    single = model.words.agg(F.sum(model.single())).first()[0]
-    assert abs(single + model.unknown - 1) < 1e-9
-    pairs = model._known_pairs().join(model.backoff, "h")
-    mass = pairs.groupBy("h").agg(F.sum(katz.discounted(F.col("c"), model.d2) * F.col("z") / F.col("ch")).alias("m"), (F.first("alpha") * (1 - F.sum("p1"))).alias("rest"))
-    assert mass.where("abs(m + rest - 1) > 1e-9").count() == 0
-    assert katz.Katz(empty(spark).select("text")).score(docs).count() == docs.count()
-
-
 def test_quality_and_toxicity(spark):
     rows, marks = [], []
     for k in range(240):
