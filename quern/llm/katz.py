@@ -157,10 +157,15 @@ def _sum_pairs(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
     return h[at], w[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def _pack_pairs(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+def _columns(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs sorted by w: the words, their runs of pairs, the histories, and which of those each pair has."""
     at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
     hs, of = np.unique(h, return_inverse=True)
-    return _pack(w[at], np.diff(np.append(at, len(w))).astype(np.uint32), hs, of.astype(np.uint32), c.astype(np.uint32) if c.max() < 1 << 32 else c.astype(np.int64))
+    return w[at], np.diff(np.append(at, len(w))).astype(np.uint32), hs, of.astype(np.uint16 if len(hs) <= 1 << 16 else np.uint32)
+
+
+def _pack_pairs(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    return _pack(*_columns(h, w), c.astype(np.uint32) if c.max() < 1 << 32 else c.astype(np.int64))
 
 
 class Pairs:
@@ -399,7 +404,8 @@ class Katz:
         """docs(doc_id, text) to (doc_id, n_tokens, n_known, base_score, score), one row per row. Null texts count as empty: one end token."""
         spark, buckets, heavy, made = self.spark, self.buckets, self.heavy, self._lookups()
         small_batches(spark)
-        shared = spark.sparkContext.broadcast(self._hot(max(1, int(self.total * HOT_SHARE))))
+        least = max(1, int(self.total * HOT_SHARE))
+        shared = spark.sparkContext.broadcast(self._hot(least))
         release(spark)
         add = float(np.log10(ADD))
 
@@ -409,30 +415,36 @@ class Katz:
         def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId() << 33
             hot_key, hot_c, hot_v = shared.value
+
+            def find(key: np.ndarray) -> np.ndarray:
+                """Where keys stand in the hot ones, -1 if they don't."""
+                if not len(hot_key):
+                    return np.full(len(key), -1)
+                at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
+                return np.where(hot_key[at] == key, at, -1)
+
             for k, (held, rows) in enumerate(_batches(batches)):
                 batch = part + k
                 size = np.array([len(d) for d in held])
                 t, h = np.concatenate(held), np.concatenate([histories(d) for d in held])
-                key, doc = np.concatenate([_mixed(t), pair_key(h, t)]), np.tile(np.repeat(np.arange(len(held)), size), 2)
-                at = np.minimum(np.searchsorted(hot_key, key), max(len(hot_key) - 1, 0))
-                known = hot_key[at] == key if len(hot_key) else np.zeros(len(key), bool)
-                c, v, d = hot_c[at[known]], hot_v[at[known]], doc[known]
-                total = lambda x: np.bincount(d, weights=x, minlength=len(held))  # noqa: B023,E731
+                doc = np.repeat(np.arange(len(held)), size)
+                word, pair = find(_mixed(t)), find(pair_key(h, t))
+                total = lambda at, x: np.bincount(doc[at >= 0], weights=x[at[at >= 0]], minlength=len(held))  # noqa: B023,E731
                 ids = rows.column("doc_id").combine_chunks()
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as w:
                     w.write_batch(pa.RecordBatch.from_arrays([ids], ["doc_id"]))
-                sums = _pack(np.arange(len(held)).astype(np.uint32), total(v), total(gains(c)), total(c > 0).astype(np.uint32), size.astype(np.uint32))
+                # A pair is no more frequent than its word, so of a known pair the word is known too.
+                sums = _pack(np.arange(len(held)).astype(np.uint32), total(word, hot_v) + total(pair, hot_v), total(word, gains(hot_c)), total(word, hot_c > 0).astype(np.uint32), size.astype(np.uint32))
                 out = [(k % buckets, "ids", batch, sink.getvalue().to_pybytes()), (k % buckets, "sums", batch, sums)]
-                bucket = np.concatenate([_bucket(t, buckets), _place(h, t, heavy, buckets)])[~known]
-                key, doc = key[~known], doc[~known]
-                order = np.lexsort((key, bucket))
-                key, doc, bucket = key[order], doc[order], bucket[order]
+                t, h, doc = t[pair < 0], h[pair < 0], doc[pair < 0]
+                bucket = _place(h, t, heavy, buckets)
+                order = np.lexsort((h, t, bucket))
+                t, h, doc, bucket = t[order], h[order], doc[order].astype(np.uint16), bucket[order]
                 at = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
                 for b, (i, j) in enumerate(zip(at, at[1:])):
                     if j > i:
-                        new = np.flatnonzero(np.concatenate([[True], key[i + 1 : j] != key[i : j - 1]]))
-                        out.append((b, "asked", batch, _pack(key[i:j][new], np.diff(np.append(new, j - i)).astype(np.uint32), doc[i:j].astype(np.uint16))))
+                        out.append((b, "asked", batch, _pack(*_columns(h[i:j], t[i:j]), doc[i:j])))
                 yield _rows(out)
 
         def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,16 +459,22 @@ class Katz:
                 else:
                     if found is None:
                         found, model = made(bucket, model), []
-                    key, c, _, v = found
-                    ks, runs, doc = _unpack(block)
-                    at = np.minimum(np.searchsorted(key, ks), max(len(key) - 1, 0))
-                    hit = key[at] == ks if len(key) else np.zeros(len(ks), bool)
-                    pos, doc = np.repeat(at[hit], runs[hit]), doc[np.repeat(hit, runs)]
-                    if len(doc):
+                    key, c, often, v = found
+                    if not len(key):
+                        continue
+                    words, runs, hs, of, doc = _unpack(block)
+                    # Words that the hot table has were counted by the asker.
+                    word = np.searchsorted(key, _mixed(words)).clip(max=len(key) - 1)
+                    own = (key[word] == _mixed(words)) & (often[word] < least) & ~np.isin(words, heavy)
+                    asked = pair_key(hs[of], np.repeat(words, runs))
+                    pair = np.searchsorted(key, asked).clip(max=len(key) - 1)
+                    seen = key[pair] == asked
+                    word, own = np.repeat(word, runs), np.repeat(own, runs)
+                    if own.any() or seen.any():
                         ids, of = np.unique(doc, return_inverse=True)
-                        total = lambda x: np.bincount(of, weights=x, minlength=len(ids))  # noqa: B023,E731
-                        counts = c[pos]
-                        yield _rows([(0, "sums", batch, _pack(ids.astype(np.uint32), total(v[pos]), total(gains(counts)), total(counts > 0).astype(np.uint32), np.zeros(len(ids), np.uint32)))])
+                        total = lambda hit, x: np.bincount(of[hit], weights=x, minlength=len(ids))  # noqa: B023,E731
+                        counts = c[word[own]]
+                        yield _rows([(0, "sums", batch, _pack(ids.astype(np.uint32), total(own, v[word[own]]) + total(seen, v[pair[seen]]), total(own, gains(counts)), total(own, counts > 0).astype(np.uint32), np.zeros(len(ids), np.uint32)))])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
 
