@@ -30,7 +30,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from quern.llm.common import crc_mod, release, small_batches, table, texts, written
+from quern.llm.common import crc_mod, small_batches, table, texts, written
 
 #: Good-Turing discounts hold for counts up to this one.
 DISCOUNTED = 5
@@ -258,7 +258,6 @@ class Katz:
         self.heavy = heavy_words(train)
         merged = self._count(train).repartition(self.parts, "bucket").sortWithinPartitions("bucket")
         self.counts = written(self._merge(merged), "ngrams", by="ord")
-        release(self.spark)
         # At most 2 * (DISCOUNTED + 1) spectrum rows, the heavy words, and two totals.
         found = self.counts.where("ord = 0").groupBy("kind", "a").agg(F.sum("n").alias("n")).collect()
         n = {k: {r["a"]: r["n"] for r in found if r["kind"] == k} for k in ("words", "pairs", "heavy", "tokens", "types", "all pairs")}
@@ -275,7 +274,6 @@ class Katz:
         #: P(w) of words by their counts.
         self.single = partial(_single, d=self.d1, scale=self.scale)
         self.weights = written(self._weigh(), "weights", by="kind")
-        release(self.spark)
 
     def _count(self, train: DataFrame) -> DataFrame:
         buckets, heavy = self.buckets, self.heavy
@@ -395,7 +393,8 @@ class Katz:
                 top = (often >= least) | np.isin(key, heavy)
                 yield pa.RecordBatch.from_arrays([pa.array(key[top].view(np.int64)), pa.array(c[top]), pa.array(v[top])], ["key", "c", "v"])
 
-        rows = self._model().repartition(self.parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, "key long, c long, v double").toArrow()
+        found = self._model().repartition(self.parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, "key long, c long, v double")
+        rows = written(found, "hot").toArrow()
         key, c, v = rows.column("key").to_numpy().view(np.uint64), rows.column("c").to_numpy(), rows.column("v").to_numpy()
         key, at = np.unique(key, return_index=True)
         return [key, c[at], v[at]]
@@ -406,7 +405,6 @@ class Katz:
         small_batches(spark)
         least = max(1, int(self.total * HOT_SHARE))
         shared = spark.sparkContext.broadcast(self._hot(least))
-        release(spark)
         add = float(np.log10(ADD))
 
         def gains(c: np.ndarray) -> np.ndarray:
