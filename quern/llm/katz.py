@@ -37,7 +37,7 @@ DISCOUNTED = 5
 #: Tokens of one packed batch, and its most documents, which have 16 bits to be numbered in.
 BATCH_TOKENS, BATCH_DOCS = 1_000_000, 60_000
 #: Text bytes per shuffle partition, and buckets per partition.
-PARTITION_BYTES, SPREAD = 24 << 20, 4
+PARTITION_BYTES, SPREAD = 24 << 20, 2
 #: A word that holds this share of the tokens of one document in HEAVY_SAMPLE has its pairs spread. This decides only where a pair is counted.
 HEAVY_SHARE, HEAVY_SAMPLE = 1 / 1024, 64
 #: Keys of at least this share of all tokens are looked up where the documents are; there are at most 2 / share of them.
@@ -227,6 +227,11 @@ def partitions(docs: DataFrame) -> int:
     return max(8, -(-int(size) // PARTITION_BYTES))
 
 
+def dealt(rows: DataFrame, parts: int, key: str = "bucket") -> DataFrame:
+    """Every partition has as many buckets (or batches) as any other, give or take one."""
+    return rows.repartitionById(parts, F.pmod(key, F.lit(parts)).cast("int"))
+
+
 def heavy_words(train: DataFrame) -> np.ndarray:
     """Sorted words of a large share of a sample of whole documents; at most 2 / HEAVY_SHARE for each that is large by itself."""
 
@@ -256,7 +261,7 @@ class Katz:
         self.parts = partitions(train)
         self.buckets = SPREAD * self.parts
         self.heavy = heavy_words(train)
-        merged = self._count(train).repartition(self.parts, "bucket").sortWithinPartitions("bucket")
+        merged = dealt(self._count(train), self.parts).sortWithinPartitions("bucket")
         self.counts = written(self._merge(merged), "ngrams", by="ord")
         # At most 2 * (DISCOUNTED + 1) spectrum rows, the heavy words, and two totals.
         found = self.counts.where("ord = 0").groupBy("kind", "a").agg(F.sum("n").alias("n")).collect()
@@ -288,7 +293,7 @@ class Katz:
 
         return train.select("text").mapInArrow(run, BLOCKS)
 
-    def _merge(self, dealt: DataFrame) -> DataFrame:
+    def _merge(self, blocks: DataFrame) -> DataFrame:
         """Blocks of merged counts (ord 2) and figures (ord 0)."""
         heavy = self.heavy
 
@@ -309,7 +314,7 @@ class Katz:
                 types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["bucket", "kind", "a", "n", "block", "ord"])
 
-        return dealt.mapInArrow(run, "bucket int, kind string, a long, n long, block binary, ord int")
+        return blocks.mapInArrow(run, "bucket int, kind string, a long, n long, block binary, ord int")
 
     def _count_blocks(self) -> DataFrame:
         return self.counts.where("ord = 2").select("bucket", F.lit("pairs").alias("kind"), F.lit(COUNTS).alias("batch"), "block")
@@ -334,10 +339,10 @@ class Katz:
                 z, alpha = (1 - left) * ch / kept, left / (1 - p1)
                 gain = np.log10(z / ch) - np.log10(alpha)
                 ends = np.cumsum([len(s[0]) for s in sums])
-                yield _rows([(bucket, "weights", WEIGHTS, _pack(h, ch.astype(np.int64), z, alpha)), *((to, "gains", GAINS + bucket, _pack(gain[at])) for (_, to, _), at in zip(rows, np.split(of, ends[:-1])))])
+                yield _rows([(bucket, "weights", WEIGHTS, _pack(h, alpha)), *((to, "gains", GAINS + bucket, _pack(gain[at])) for (_, to, _), at in zip(rows, np.split(of, ends[:-1])))])
 
         asked = self._count_blocks().mapInArrow(ask, BLOCKS)
-        return asked.repartition(self.parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(answer, BLOCKS)
+        return dealt(asked, self.parts).sortWithinPartitions("bucket", "batch").mapInArrow(answer, BLOCKS)
 
     def _model(self) -> DataFrame:
         return self._count_blocks().unionByName(self.weights)
@@ -364,7 +369,7 @@ class Katz:
                 word, c = np.concatenate([word, p.words[here]]), np.concatenate([c, own[here]])
             v = np.log10(single(c)) - np.log10(unknown)
             for block in (block for kind, _, block in rows if kind == "weights"):
-                h, _, _, alpha = _unpack(block)
+                h, alpha = _unpack(block)
                 at = np.minimum(np.searchsorted(h, word), len(h) - 1)
                 v = v + np.where(h[at] == word, np.log10(alpha[at]), 0.0)
             key = np.concatenate([_mixed(word), key])
@@ -377,7 +382,7 @@ class Katz:
         """log10 alpha of the start, which every text has once."""
         home = int(_bucket(np.array([START]), self.buckets)[0])
         for (block,) in self.weights.where((F.col("kind") == "weights") & (F.col("bucket") == home)).select("block").collect():
-            h, _, _, alpha = _unpack(block)
+            h, alpha = _unpack(block)
             found = alpha[h == START]
             if len(found):
                 return float(np.log10(found[0]))
@@ -393,7 +398,7 @@ class Katz:
                 top = (often >= least) | np.isin(key, heavy)
                 yield pa.RecordBatch.from_arrays([pa.array(key[top].view(np.int64)), pa.array(c[top]), pa.array(v[top])], ["key", "c", "v"])
 
-        found = self._model().repartition(self.parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, "key long, c long, v double")
+        found = dealt(self._model(), self.parts).sortWithinPartitions("bucket", "batch").mapInArrow(run, "key long, c long, v double")
         rows = written(found, "hot").toArrow()
         key, c, v = rows.column("key").to_numpy().view(np.uint64), rows.column("c").to_numpy(), rows.column("v").to_numpy()
         key, at = np.unique(key, return_index=True)
@@ -494,7 +499,7 @@ class Katz:
 
         asked = docs.select("doc_id", "text").mapInArrow(ask, BLOCKS)
         tasks = max(self.parts, partitions(docs))
-        answered = asked.unionByName(self._model()).repartition(tasks, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(answer, BLOCKS)
+        answered = dealt(asked.unionByName(self._model()), self.parts).sortWithinPartitions("bucket", "batch").mapInArrow(answer, BLOCKS)
         sums = answered.repartition(tasks, "batch").mapInArrow(gather, f"doc_id {kind}, n_tokens long, n_known long, g double, v double")
         floor = add - float(np.log10(self.total + ADD * (self.types + 1)))
         alone = float(np.log10(self.unknown))

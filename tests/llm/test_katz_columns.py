@@ -86,12 +86,16 @@ def test_every_history_sums_to_one(spark):
     p1 = {w: p for b in blocks for w, p in zip(b.words.tolist(), model.single(b.counts(model.heavy, model.heavy_counts)))}
     assert abs(sum(p1.values()) + model.unknown - 1) < 1e-9
     rows = [katz._unpack(r["block"]) for r in model.weights.where("kind = 'weights'").collect()]
-    weights = {h: (ch, z, alpha) for hs, chs, zs, alphas in rows for h, ch, z, alpha in zip(hs.tolist(), chs.tolist(), zs, alphas)}
-    mass = {h: alpha for h, (*_, alpha) in weights.items()}
+    alphas = {h: alpha for hs, a in rows for h, alpha in zip(hs.tolist(), a)}
+    kept, count = Counter(), Counter()
+    mass = dict(alphas)
     for b in blocks:
         for h, w, c in zip(b.histories[b.of].tolist(), b.words[b.word].tolist(), b.c):
-            ch, z, alpha = weights[h]
-            mass[h] += katz.discounted(c, model.d2) * z / ch - alpha * p1[w]
+            kept[h] += katz.discounted(c, model.d2)
+            count[h] += int(c)
+            mass[h] -= alphas[h] * p1[w]
+    for h, c in count.items():
+        mass[h] += 1 - max(1 - kept[h] / c, 1 / (c + 1))
     assert len(mass) > 40 and all(abs(m - 1) < 1e-9 for m in mass.values())
 
 
