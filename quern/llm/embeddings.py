@@ -1,16 +1,25 @@
-"""Near-duplicate vectors by counting collisions of one-dimensional projections.
-
-Each vector is projected on orthonormal random directions. Around a query, every
-direction has a window that a vector at the similarity bound leaves with small,
-known probability; a pair is verified if it collides in at least MIN_COLLISIONS of
-them. A pair that misses few windows collides in all of some group of
-directions, so the sorted projections of each group are cut into cells, and only
-vectors whose windows reach a query's cell meet it.
+"""Near-duplicate vectors by counting collisions of sorted one-dimensional projections.
+
+Every list sorts the vectors of a label by one random projection inside the cells of
+some more, and a query collides with what stands in its window there: as far to
+either side as a pair at the similarity bound seldom exceeds. Beside its place in a
+list a vector carries COUNTED short projections, and a pair that meets in a list is
+kept if it collides in LEAST of them, a count that a pair at the bound misses with
+chance below 1e-4. Only ids and projections are shuffled for that. Vectors that kept
+a partner are then brought together once more, by list and cell, and their cosines
+are worked out in double precision.
+
+How many projections make a cell is measured on the whole table: the fewest that
+leave a vector NEIGHBOURS others in its cells; the number of lists follows from that
+and RECALL. So work grows with the number of vectors, not with its square, however
+many there are, unless a table is dense at the bound itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from math import ceil, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,130 +29,215 @@ from quern.llm.common import groups, in_blocks, local_roots, table, written
 from quern.llm.components import components
 
 THRESHOLD = 0.98
-GROUPS, PER_GROUP = 3, 4
-#: At most GROUPS - 1 misses, so that one group is whole: recall 0.9996 at the bound for isotropic differences.
-MIN_COLLISIONS = GROUPS * PER_GROUP - (GROUPS - 1)
-WINDOW_SIGMAS = 2.5
-CELL_WINDOWS = 4
+#: Projections are in units of what a pair at the bound differs by, on average, in a direction.
+WINDOW, CELL = 2.5, 10.0
+COUNTED, LEAST = 16, 13
+#: Least chance that a pair at the bound meets in some list, over the choice of directions.
+RECALL = 0.995
+NEIGHBOURS = 32
+#: Numbers of projections that a cell may have.
+DEPTHS = tuple(range(0, 33, 2))
 BLOCK = 512
+#: Pairs that are looked at together.
+CHUNK = 1 << 20
 SEED = 7
 
 
-def directions(dim: int) -> np.ndarray:
-    """dim x m directions, orthonormal as far as dim allows."""
-    m = GROUPS * PER_GROUP
-    g = np.random.default_rng(SEED).standard_normal((dim, m))
-    return np.linalg.qr(g)[0] if dim >= m else g / np.linalg.norm(g, axis=0)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def meeting_chance(depth: int) -> float:
+    """That a pair at the bound shares a cell of ``depth`` projections and a window."""
+    cell = erf(CELL / sqrt(2)) - 2 / (sqrt(2 * pi) * CELL) * (1 - exp(-CELL * CELL / 2))
+    return cell**depth * erf(WINDOW / sqrt(2))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Lists and the projections of their cells."""
+
+    depth: int
+    lists: int
+    threshold: float = THRESHOLD
+
+    def directions(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Unit columns: depth + 1 for each list and COUNTED more, scaled to the units of windows; and where the cells of each start."""
+        n = self.lists * (self.depth + 1) + COUNTED
+        g = np.random.default_rng((SEED, dim))
+        d = g.standard_normal((dim, n))
+        return d / np.linalg.norm(d, axis=0) * sqrt(dim / max(2 - 2 * self.threshold, 1e-12)), g.random(n)
+
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of unit vectors: the cell and the place in each list, and the short projections.
 
+        Sums go dimension by dimension, so a vector has the same places whatever stands beside it.
+        """
+        d, offset = self.directions(x.shape[1])
+        p = np.zeros((len(x), d.shape[1]))
+        for j in range(x.shape[1]):
+            p += x[:, j, None] * d[j]
+        step = self.depth + 1
+        key = np.empty((len(x), self.lists), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(self.lists):
+                at = slice(k * step, k * step + self.depth)
+                cells = np.floor(p[:, at] / CELL + offset[at]).astype(np.int64).view(np.uint64)
+                h = np.full(len(x), (x.shape[1] << 16) + k, dtype=np.uint64)
+                for c in cells.T:
+                    h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + c)
+                key[:, k] = _mixed(h)
+        short = np.clip(np.round(4 * p[:, self.lists * step :]), -127, 127).astype(np.int8)
+        return key.view(np.int64), p[:, self.depth : self.lists * step : step], short
 
-def window(dim: int, threshold: float) -> float:
-    return WINDOW_SIGMAS * np.sqrt(2 - 2 * threshold) / np.sqrt(dim)
+
+def collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Windows of short projections that each pair shares, give or take their rounding."""
+    return (np.abs(a.astype(np.int16) - b) <= int(4 * WINDOW) + 1).sum(axis=-1)
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    squares = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        squares += x[:, j] * x[:, j]
+    return x / np.sqrt(squares)[:, None]
+
+
+def by_size(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) of each number of dimensions."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    for dim in np.unique(size):
+        at = np.flatnonzero(size == dim)
+        yield at, unit(values[start[at, None] + np.arange(dim)])
+
+
+def _joined(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
+def neighbours(classes: DataFrame, threshold: float = THRESHOLD) -> dict[int, float]:
+    """How many vectors share a vector's cell, on average, by the projections of a cell; one row for each of DEPTHS comes to the driver."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x in by_size(batch.column("embedding")):
+                for depth in DEPTHS:
+                    key, *_ = Plan(depth, 1, threshold).places(x)
+                    yield pa.RecordBatch.from_arrays([batch.column("label").take(pa.array(at)), pa.array(np.full(len(at), depth, np.int32)), pa.array(key[:, 0])], ["label", "depth", "key"])
+
+    kind = classes.schema["label"].dataType.simpleString()
+    cells = classes.select("label", "embedding").mapInArrow(run, f"label {kind}, depth int, key long").groupBy("label", "depth", "key").agg(F.count("*").cast("double").alias("n"))
+    return {r["depth"]: r["s"] / r["n"] for r in cells.groupBy("depth").agg(F.sum(F.col("n") * F.col("n")).alias("s"), F.sum("n").alias("n")).collect()}
+
 
+def plan(classes: DataFrame, threshold: float = THRESHOLD) -> Plan:
+    found = neighbours(classes, threshold)
+    depth = next((d for d in DEPTHS if found.get(d, 0) <= NEIGHBOURS), DEPTHS[-1])
+    p = meeting_chance(depth)
+    return Plan(depth, max(1, ceil(log(1 - RECALL) / log(1 - p))), threshold)
 
-def cells(p: np.ndarray, w: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, cell) of each cell that a row's window reaches; a row's own cell comes first."""
-    width = CELL_WINDOWS * w
-    home, low, high = (np.floor((p + s * w) / width).astype(np.int64) for s in (0, -1, 1))
-    for r in range(len(p)):
-        found = [()]
-        for k in range(p.shape[1]):
-            own = [home[r, k]] + [c for c in range(low[r, k], high[r, k] + 1) if c != home[r, k]]
-            found = [(*f, c) for f in found for c in own]
-        for c in found:
-            yield r, c
 
+def postings(classes: DataFrame, way: Plan) -> DataFrame:
+    """classes(cls, label, embedding) to (label, key, cls, x, s0, s1), one row per list."""
 
-def _postings(vectors: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column("embedding")
-            dims = np.diff(flat.offsets.to_numpy())
-            ids, n = batch.column("cls").to_numpy(), batch.column("n").to_numpy()
-            values = flat.flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(dims)])
-            labels = batch.column("label")
-            rows, group, hashed, home = [], [], [], []
-            for dim in np.unique(dims):
-                pick = np.flatnonzero(dims == dim)
-                p = unit(np.stack([values[starts[i] : starts[i + 1]] for i in pick])) @ directions(dim)
-                w = window(dim, threshold)
-                for g in range(GROUPS):
-                    last = -1
-                    for r, c in cells(p[:, g * PER_GROUP : (g + 1) * PER_GROUP], w):
-                        rows.append(pick[r])
-                        group.append(g)
-                        hashed.append(",".join(map(str, (dim, *c))))
-                        home.append(r != last)
-                        last = r
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids).take(at), pa.array(n).take(at), labels.take(at), flat.take(at), pa.array(group, pa.int32()), pa.array(hashed), pa.array(home)],
-                ["cls", "n", "label", "embedding", "grp", "cell", "home"],
-            )
-
-    kind = vectors.schema["label"].dataType.simpleString()
-    item = vectors.schema["embedding"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"cls long, n long, label {kind}, embedding {item}, grp int, cell string, home boolean")
-
-
-def collide(a: np.ndarray, b: np.ndarray, w: float) -> tuple[np.ndarray, np.ndarray]:
-    """Collisions per pair, and the first group that collides as a whole (GROUPS if none)."""
-    count = np.zeros((len(a), len(b)), dtype=np.int8)
-    first = np.full((len(a), len(b)), GROUPS, dtype=np.int8)
-    for g in reversed(range(GROUPS)):
-        whole = np.ones(count.shape, dtype=bool)
-        for k in range(g * PER_GROUP, (g + 1) * PER_GROUP):
-            hit = np.abs(a[:, k, None] - b[None, :, k]) <= w
-            count += hit
-            whole &= hit
-        first[whole] = g
-    return count, first
-
-
-def class_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """classes(cls, n, label, embedding) to rows (u, v, links): v is joined to u, links counts rows that u links with in this pair of blocks."""
-    posted = _postings(classes, threshold).withColumn("key", F.xxhash64("label", "grp", "cell"))
-    dealt = in_blocks(posted, ["key"], F.xxhash64("cls"), BLOCK)
-    keys = ["key", "bi", "bj"]
-    ready = dealt.select(*keys, "blk", "cls", "n", "grp", "home", "embedding").repartition(*keys).sortWithinPartitions(*keys)
+            for at, x in by_size(batch.column("embedding")):
+                key, place, short = way.places(x)
+                s = short.view(np.int64)
+                label, cls = batch.column("label").take(pa.array(at)), batch.column("cls").take(pa.array(at))
+                for k in range(way.lists):
+                    yield pa.RecordBatch.from_arrays([label, pa.array(key[:, k]), cls, pa.array(place[:, k].astype(np.float32)), pa.array(s[:, 0]), pa.array(s[:, 1])], ["label", "key", "cls", "x", "s0", "s1"])
+
+    kind = classes.schema["label"].dataType.simpleString()
+    return classes.select("cls", "label", "embedding").mapInArrow(run, f"label {kind}, key long, cls long, x float, s0 long, s1 long")
+
+
+def windows(group: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group that stand in each other's window, some at a time."""
+    order = np.lexsort((x, group))
+    wide = WINDOW + 1e-3
+    line = group[order] * (float(x.max() - x.min()) + 4 * wide) + (x[order] - x.min())
+    end = np.searchsorted(line, line + wide, side="right")
+    many = end - np.arange(len(x)) - 1
+    before = np.concatenate([[0], np.cumsum(many)])
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(before, before[lo] + CHUNK, side="right")) - 1)
+        n = many[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(before[lo:hi] - before[lo], n)
+        if len(i):
+            yield order[i], order[j]
+        lo = hi
+
+
+KEYS = ["label", "key", "bi", "bj"]
+
+
+def partnered(posted: DataFrame) -> DataFrame:
+    """(label, key, bi, bj, blk, cls) of the postings that collide with another in their list, and LEAST times in all."""
+    kind = posted.schema["label"].dataType.simpleString()
+    dealt = in_blocks(posted, ["label", "key"], F.xxhash64("cls"), BLOCK)
+    ready = dealt.select(*KEYS, "blk", "cls", "x", "s0", "s1").repartition(*KEYS).sortWithinPartitions(*KEYS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in groups(batches, KEYS):
+            ends = at[1:] if at[-1] == t.num_rows else np.append(at[1:], t.num_rows)
+            group = np.repeat(np.arange(len(ends)), ends - at[: len(ends)])
+            bi, bj, blk = (t.column(c).to_numpy() for c in ("bi", "bj", "blk"))
+            short = np.column_stack([t.column(c).to_numpy() for c in ("s0", "s1")]).view(np.int8)
+            kept = np.zeros(t.num_rows, dtype=bool)
+            for i, j in windows(group, t.column("x").to_numpy().astype(np.float64)):
+                apart = (bi[i] == bj[i]) | (blk[i] != blk[j])
+                i, j = i[apart], j[apart]
+                near = collisions(short[i], short[j]) >= LEAST
+                kept[i[near]] = kept[j[near]] = True
+            if kept.any():
+                yield from t.select([*KEYS, "blk", "cls"]).filter(pa.array(kept)).to_batches()
+
+    return ready.mapInArrow(run, f"label {kind}, key long, bi int, bj int, blk int, cls long")
+
+
+def class_links(classes: DataFrame, way: Plan) -> DataFrame:
+    """classes(cls, n, label, embedding) to rows (u, v, links): v is joined to u, links counts rows that u links with in this pair of blocks.
+
+    A pair that meets in several lists counts in the first of them.
+    """
+    some = written(partnered(postings(classes, way)), "partnered")
+    ready = some.join(classes.select("cls", "n", "embedding"), "cls").repartition(*KEYS).sortWithinPartitions(*KEYS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in groups(batches, keys):
-            col = {c: t.column(c).to_numpy() for c in ("blk", "bi", "bj", "cls", "n", "grp")}
-            home = t.column("home").to_numpy(zero_copy_only=False)
-            vectors = t.column("embedding").combine_chunks()
+        for t, at in groups(batches, KEYS):
+            col = {c: t.column(c).to_numpy() for c in ("key", "blk", "bi", "bj", "cls", "n")}
+            vectors = _joined(t.column("embedding"))
             out = [], [], []
             ends = at[1:] if at[-1] == t.num_rows else np.append(at[1:], t.num_rows)
             for s, e in zip(at, ends):
-                if e - s < 2:
-                    continue
-                lists = vectors.slice(s, e - s)
-                if len(set(lists.value_lengths().to_pylist())) != 1:
-                    continue  # only by a collision of cell hashes
-                x = unit(lists.flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1))
-                blk, i, j = col["blk"][s:e], col["bi"][s], col["bj"][s]
-                w = window(x.shape[1], threshold)
-                p = x @ directions(x.shape[1])
-                count, first = collide(p, p, w)
-                near = (count >= MIN_COLLISIONS) & (first == col["grp"][s])
-                near &= (blk[:, None] != blk[None, :]) if i != j else ~np.eye(e - s, dtype=bool)
-                a, b = np.nonzero(near)
-                near[a, b] = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-                own, n, cls = home[s:e], col["n"][s:e], col["cls"][s:e]
-                counted = (near & own[:, None]) @ n
-                root = local_roots(near | near.T)
-                used = near.any(axis=1)
-                out[0].append(cls[used])
-                out[1].append(cls[root[used]])
-                out[2].append(counted[used])
+                for rows, x in by_size(vectors.slice(s, e - s)):
+                    if len(rows) < 2:
+                        continue
+                    blk, n, cls = (col[c][s:e][rows] for c in ("blk", "n", "cls"))
+                    key, place, short = way.places(x)
+                    near = collisions(short[:, None], short[None]) >= LEAST
+                    near &= (blk[:, None] != blk[None]) if col["bi"][s] != col["bj"][s] else ~np.eye(len(rows), dtype=bool)
+                    a, b = np.nonzero(near)
+                    meet = (key[a] == key[b]) & (np.abs(place[a] - place[b]) <= WINDOW)
+                    first = np.argmax(meet, axis=1)
+                    here = meet[np.arange(len(a)), first] & (key[a, first] == col["key"][s])
+                    a, b = a[here], b[here]
+                    near = np.zeros(near.shape, dtype=bool)
+                    near[a, b] = np.einsum("ij,ij->i", x[a], x[b]) >= way.threshold
+                    root, used = local_roots(near), near.any(axis=1)
+                    out[0].append(cls[used])
+                    out[1].append(cls[root[used]])
+                    out[2].append((near @ n)[used])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["u", "v", "links"])
 
@@ -155,24 +249,25 @@ def vector_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     A null label, vector or vec_id, a zero vector and one with null or
     non-finite components link with nothing: n_links 0, component_id their own
-    id. Equal vectors of a label are one node with a count, so copies make no
-    pairs. An empty table gives no rows.
+    id. Vectors of different sizes link with nothing of another size. Equal vectors of a label are one node with a count,
+    found by their values, so copies and repeated rows make no pairs. Other columns are left out. An empty table gives no rows.
     """
     e = F.col("embedding").cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     whole = ~F.exists(e, bad) & F.exists(e, lambda x: x != 0)
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & whole, F.lit(False))
     x = vectors.select("vec_id", "embedding", "label", ok.alias("ok"))
-    x = x.withColumn("cls", F.when(F.col("ok"), F.xxhash64("label", "embedding")))
-    classes = written(x.where("ok").groupBy("cls").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("first")), "vectors")
-    found = written(class_links(classes.select("cls", "n", "label", "embedding"), threshold), "links")
+    same = x.where("ok").groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    # Ids hold because the rows are written with them.
+    classes = written(same.withColumn("cls", F.monotonically_increasing_id()), "vectors")
+    found = written(class_links(classes.select("cls", "n", "label", "embedding"), plan(classes, threshold)), "links")
     links = found.groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"))
     roots = components(found.select("u", "v"))
     named = classes.select("cls", "n", "first").join(links, "cls", "left").join(roots, classes["cls"] == roots["node"], "left")
     named = written(named.select("cls", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "root").select("cls", "n_links", "component_id")
-    out = x.where("ok").join(of, "cls").select("vec_id", "n_links", "component_id")
+    of = named.join(least, "root").select("cls", "n_links", "component_id").join(classes.select("cls", "label", "embedding"), "cls")
+    out = x.where("ok").join(of, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = x.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
