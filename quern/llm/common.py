@@ -57,6 +57,11 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns as one, so that no column that is added to a row clashes with one it has."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 

@@ -1,95 +1,135 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-A source's documents form blocks of BLOCK_CHARS characters. Weights are held as
-whole numbers of slots in a period; block k of a source with p of P slots is
-released at floor(k P / p) and due at ceil((k + 1) P / p). The earliest deadline
-first schedule of one period is worked out once and repeats, so a block's slot
-follows from its number, and no source is ever a whole block off its weight until
-some source has run out. Slots of an exhausted source stay empty.
+A source's documents form blocks of BLOCK_CHARS characters. Target weights are whole
+numbers of slots: block k of a source of weight p out of P in all is released at floor(k P / p)
+and due at ceil((k + 1) P / p), and the slots go to released blocks, earliest deadline
+first. After P slots every source is exactly at its weight, so the schedule of
+those repeats and a block's slot follows from its number; in between, no source is a whole block off
+its weight until some source has run out. Slots of an exhausted source stay empty.
+
+Given weights are taken as the fractions they are written as, and are met exactly if
+their common period is at most MAX_PERIOD; else they are rounded to whole slots
+of that period, one at least, and the bound holds for the rounded weights. Default weights are whole slots of PERIOD to begin with.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import lcm
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from quern.llm.common import table
+from quern.llm.common import packed, table
 
 BLOCK_CHARS = 65536
-PERIOD = 1000
-#: Default weight of a source: its characters to this power.
-ALPHA = 0.5
+PERIOD, MAX_PERIOD = 1000, 20_000
 #: More sources than this are joined without a broadcast.
 BROADCAST_SOURCES = 100_000
+#: Characters of a source whose order one task works out, on average; only their ids and lengths matter there.
+RANGE_CHARS = 1 << 28
 _BIG = 10**15
 _STRIDE = 10**6
 
 
 def _key(source: Column) -> Column:
-    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
+    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The smallest whole numbers in the proportions of positive weights: ratios within a float's error of a simple fraction are that fraction."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    if not all(w > 0 for w in exact.values()):
+        raise ValueError("weights must be positive")
+    least = min(exact.values())
+    ratios = {k: w / least for k, w in exact.items()}
+    simple = {k: r.limit_denominator(PERIOD) for k, r in ratios.items()}
+    chosen = {k: simple[k] if abs(simple[k] / r - 1) < Fraction(1, 10**12) else r for k, r in ratios.items()}
+    scale = lcm(*(r.denominator for r in chosen.values()))
+    return {k: min(int(r * scale), 1 << 62) for k, r in chosen.items()}
+
+
+def shares(sizes: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
+    """sizes(key, c) to (key, p): the slots of each source in a period.
+
+    By default a source's weight is the root of its characters, in whole slots of ``period``, one at least.
+    Sources that ``weights`` leaves out get its smallest weight; no weights at all are equal weights.
+    """
+    if weights is None:
+        x = sizes.select("key", F.greatest(F.floor(F.sqrt("c")), F.lit(1)).cast("long").alias("w"))
+    else:
+        known = whole_weights(weights) if weights else {"": 1}
+        named = F.element_at(F.create_map(*(F.lit(v) for k, n in known.items() for v in (f"={k}", n))), F.col("key"))
+        x = sizes.select("key", F.coalesce(named, F.lit(min(known.values()))).cast("long").alias("w"))
+    # One row, so its broadcast is bounded.
+    x = x.withColumn("w", F.col("w").cast("decimal(38,0)"))
+    x = x.join(F.broadcast(x.agg(F.sum("w").alias("all"))))
+    part = f"w * {period if weights is None else MAX_PERIOD}"
+    if weights is None:
+        return x.select("key", F.greatest(F.expr(f"{part} div all"), F.lit(1)).cast("long").alias("p"))
+    # Beyond MAX_PERIOD, the slots that whole shares leave go to the largest fractions.
+    x = x.withColumns({"q": F.expr(f"{part} div all"), "rest": F.expr(f"{part} % all")})
+    x = x.withColumn("k", F.row_number().over(W.orderBy(F.desc("rest"), "key")))
+    x = x.join(F.broadcast(x.agg((F.lit(MAX_PERIOD) - F.sum("q")).alias("left"))))
+    some = F.greatest(F.col("q") + (F.col("k") <= F.col("left")).cast("int"), F.lit(1))
+    return x.select("key", F.when(F.col("all") <= MAX_PERIOD, F.col("w")).otherwise(some).cast("long").alias("p"))
 
 
-def period_slots(sources: DataFrame, period: int = PERIOD) -> DataFrame:
-    """sources(key, weight) to (key, p, total, j, slot, release, due): the j-th block of a source within one period.
+def period_slots(sources: DataFrame) -> DataFrame:
+    """sources(key, p) to (key, p, total, j, slot, release, due): the j-th block of a source within one period.
 
-    Every source has one slot at least; the rest go by weight, remainders to the
-    largest fractions. The schedule is one row of at most max(period, sources)
-    entries, made in one fold over the slots.
+    The schedule is one row of as many entries as the period has slots, made in one fold over them.
     """
-    every = W.orderBy("key").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    x = sources.withColumns({"n": F.count("*").over(every), "w": F.sum("weight").over(every)})
-    x = x.withColumn("total", F.greatest(F.lit(period), "n").cast("long"))
-    x = x.withColumn("q", (F.col("total") - F.col("n")) * F.col("weight") / F.col("w"))
-    x = x.withColumns({"rest": F.col("total") - F.col("n") - F.sum(F.floor("q")).over(every), "k": F.row_number().over(W.orderBy(F.floor("q") - F.col("q"), "key"))})
-    x = x.withColumn("p", (1 + F.floor("q") + F.when(F.col("k") <= F.col("rest"), 1).otherwise(0)).cast("long"))
-    x = x.agg(F.array_sort(F.collect_list(F.struct("key", "p"))).alias("s"), F.max("total").alias("total")).where("total IS NOT NULL")
+    x = sources.agg(F.array_sort(F.collect_list(F.struct("key", "p"))).alias("s"), F.sum("p").alias("total")).where("total IS NOT NULL")
     # acc.k: blocks scheduled so far; acc.out: the source of each slot. The least of (due, source) over released blocks is next.
     fold = F.expr(
-        f"""aggregate(sequence(0L, total - 1), named_struct('k', transform(s, v -> 0L), 'out', cast(array() as array<bigint>)),
-        (acc, t) -> transform(array(array_min(zip_with(acc.k, s, (c, v) -> if((c * total) div v.p <= t AND c < v.p, named_struct('due', ((c + 1) * total + v.p - 1) div v.p, 'key', v.key), null)))),
-            least -> named_struct('k', zip_with(acc.k, s, (c, v) -> if(v.key = least.key, c + 1, c)), 'out', concat(acc.out, array(array_position(transform(s, v -> v.key), least.key)))))[0],
+        """aggregate(sequence(0L, total - 1), named_struct('k', transform(s, v -> 0L), 'out', cast(array() as array<bigint>)),
+        (acc, t) -> transform(array(array_min(zip_with(acc.k, transform(s, (v, i) -> named_struct('p', v.p, 'i', i)), (c, v) -> if((c * total) div v.p <= t AND c < v.p, named_struct('due', ((c + 1) * total + v.p - 1) div v.p, 'i', v.i), null)))),
+            least -> named_struct('k', transform(acc.k, (c, i) -> if(i = least.i, c + 1, c)), 'out', concat(acc.out, array(cast(least.i as bigint)))))[0],
         acc -> acc.out)"""
     )
     x = x.select("s", "total", F.posexplode(fold).alias("slot", "i"))
-    x = x.select("total", F.col("slot").cast("long").alias("slot"), F.element_at("s", F.col("i").cast("int")).alias("v")).select("total", "slot", "v.key", "v.p")
+    x = x.select("total", F.col("slot").cast("long").alias("slot"), F.get("s", F.col("i").cast("int")).alias("v")).select("total", "slot", "v.key", "v.p")
     x = x.withColumn("j", (F.row_number().over(W.partitionBy("key").orderBy("slot")) - 1).cast("long"))
     return x.withColumns({"release": F.expr("(j * total) div p"), "due": F.expr("((j + 1) * total + p - 1) div p")})
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_chars: int = BLOCK_CHARS, alpha: float = ALPHA) -> DataFrame:
+MIXED = ("mix_block", "mix_slot", "mix_place", "mix_release", "mix_due")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text, source, ...) with mix_block, mix_slot, mix_place and the block's release and due slots.
 
     Reading by (mix_slot, mix_place, doc_id) gives the mixture; every row has one
-    place. A null source is a source of its own; null and empty texts have no
-    characters and share the place of the next document; sources that ``weights``
-    leaves out get its smallest weight. A source's documents follow each other by
-    the MD5 of their id, so a run of ids doesn't end up together. The hot source is
-    spread over 4096 hash ranges, whose sizes add up to offsets.
+    place, repeated rows one after the other. A null source is a source of its own; null and empty texts have no
+    characters and share the place of the next document; a long text stands where its first character does. An empty table gives no rows.
+    Columns of any name stay, but those that are added replace columns of their names. A source's documents follow each other by
+    the MD5 of their id, so a run of ids doesn't end up together. A source of any size is
+    spread over hash ranges, whose sizes add up to offsets.
     """
-    x = docs.withColumns({"_key": _key(F.col("source")), "_chars": F.length(F.coalesce("text", F.lit(""))).cast("long"), "_md5": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
-    x = x.withColumn("_range", F.substring("_md5", 1, 3))
-    ranges = x.groupBy("_key", "_range").agg(F.sum("_chars").alias("_c"))
-    before = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("_key", "_range", "_before")
-    sizes = ranges.groupBy("_key").agg(F.sum("_c").alias("_c"))
-    if weights is None:
-        weight = F.pow(F.greatest(F.col("_c"), F.lit(1)).cast("double"), F.lit(alpha)) if alpha != 0.5 else F.sqrt(F.greatest(F.col("_c"), F.lit(1)).cast("double"))
-    else:
-        weight = F.coalesce(F.element_at(F.create_map(*(F.lit(v) for k, w in weights.items() for v in (f"={k}", float(w)))), F.col("_key")), F.lit(float(min(weights.values()))))
-    sources = sizes.select(F.col("_key").alias("key"), weight.alias("weight"))
-    slots = period_slots(sources, period).select(F.col("key").alias("_key"), F.col("p").alias("_p"), "total", F.col("j").alias("_j"), "slot", "release", "due")
-    place = W.partitionBy("_key", "_range").orderBy("_md5", "doc_id", "_chars").rowsBetween(W.unboundedPreceding, -1)
-    x = x.withColumn("_in", F.coalesce(F.sum("_chars").over(place), F.lit(0)))
-    few = sources.count() <= BROADCAST_SOURCES
-    # At most BROADCAST_SOURCES times 4096 ranges would be too many, so only slots are broadcast.
-    x = x.join(offsets, ["_key", "_range"]).withColumn("_at", F.col("_in") + F.col("_before"))
-    x = x.withColumns({"mix_block": F.floor(F.col("_at") / block_chars), "mix_place": F.col("_at") % block_chars})
-    per = slots.select("_key", "_p").distinct()
-    x = x.join(F.broadcast(per) if few else per, "_key").withColumn("_j", F.col("mix_block") % F.col("_p"))
-    x = x.join(F.broadcast(slots.drop("_p")) if few else slots.drop("_p"), ["_key", "_j"])
-    turn = F.expr("mix_block div _p * total")
+    md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    x = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), _key(F.col("source")).alias("key"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), md5.alias("md5"))
+    sizes = x.groupBy("key").agg(F.sum("chars").alias("c"))
+    found = sizes.agg(F.count("*"), F.max("c")).first()
+    digits = 3
+    while 16**digits * RANGE_CHARS < (found[1] or 0) and digits < 8:
+        digits += 1
+    x = x.withColumn("range", F.substring("md5", 1, digits))
+    before = W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = x.groupBy("key", "range").agg(F.sum("chars").alias("c"))
+    offsets = ranges.select("key", "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    slots = period_slots(shares(sizes, weights, period))
+    place = W.partitionBy("key", "range").orderBy("md5", "id", "chars").rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumn("in", F.coalesce(F.sum("chars").over(place), F.lit(0)))
+    x = x.join(offsets, ["key", "range"]).withColumn("at", F.col("in") + F.col("before"))
+    x = x.withColumns({"mix_block": F.floor(F.col("at") / block_chars), "mix_place": F.col("at") % block_chars})
+    # Ranges grow with the table, so only slots are broadcast, and those only of so many sources.
+    small = F.broadcast if found[0] <= BROADCAST_SOURCES else lambda d: d
+    x = x.join(small(slots.select("key", "p").distinct()), "key").withColumn("j", F.col("mix_block") % F.col("p"))
+    x = x.join(small(slots.drop("p")), ["key", "j"])
+    turn = F.expr("mix_block div p * total")
     x = x.withColumns({"mix_slot": turn + F.col("slot"), "mix_release": turn + F.col("release"), "mix_due": turn + F.col("due")})
-    return x.select(*docs.columns, "mix_block", "mix_slot", "mix_place", "mix_release", "mix_due")
+    return x.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in MIXED), *MIXED)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
@@ -103,11 +143,10 @@ def op6_mixing(spark, folder: str) -> DataFrame:
 
 OP6_SQL = f"""
 WITH RECURSIVE x AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key, length(coalesce(text, '')) AS chars, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-w AS (SELECT key, sqrt(CAST(greatest(sum(chars), 1) AS DOUBLE)) AS weight FROM x GROUP BY key),
-n AS (SELECT count(*) AS n, greatest({PERIOD}, count(*)) AS tot, list_sum(list(weight ORDER BY key)) AS w FROM w),
-q AS (SELECT key, (tot - n) * weight / w.w AS q, row_number() OVER (ORDER BY key) AS i FROM (SELECT w.key, w.weight, n.n, n.tot, n.w FROM w, n) w),
-r0 AS (SELECT *, row_number() OVER (ORDER BY floor(q) - q, key) AS k, (SELECT tot - n FROM n) - sum(floor(q)) OVER () AS rest FROM q),
-p AS (SELECT key, i, CAST(1 + floor(q) + CASE WHEN k <= rest THEN 1 ELSE 0 END AS BIGINT) AS p FROM r0),
+w AS (SELECT key, greatest(CAST(floor(sqrt(CAST(sum(chars) AS DOUBLE))) AS BIGINT), 1) AS weight FROM x GROUP BY key),
+q AS (SELECT key, greatest({PERIOD} * weight // (SELECT sum(weight) FROM w), 1) AS p FROM w),
+p AS (SELECT key, CAST(p AS BIGINT) AS p, row_number() OVER (ORDER BY key) AS i FROM q),
+n AS (SELECT CAST(sum(p) AS BIGINT) AS tot FROM p),
 e AS (SELECT CAST(0 AS BIGINT) AS t, (SELECT list(CAST(0 AS BIGINT)) FROM p) AS ks, CAST(NULL AS BIGINT) AS pick, (SELECT list(p ORDER BY i) FROM p) AS ps, (SELECT tot FROM n) AS tot
  UNION ALL SELECT t + 1, list_transform(ks, lambda k, m: CASE WHEN m = v % {_STRIDE} THEN k + 1 ELSE k END), v % {_STRIDE}, ps, tot FROM
  (SELECT *, list_min(list_transform(ks, lambda c, m: CASE WHEN (c * tot) // ps[m] <= t AND c < ps[m] THEN ((c + 1) * tot + ps[m] - 1) // ps[m] * {_STRIDE} + m ELSE {_BIG} END)) AS v FROM e WHERE t < tot)),
