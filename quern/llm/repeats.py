@@ -1,12 +1,16 @@
-"""Repeated passages by a hash join at content-selected minimiser positions.
+"""Repeated passages by a sparse set of suffixes at content-selected minimiser positions.
 
 A word position is kept if the hash of the KEY words from it is the least in some
 window of MIN_WORDS - KEY + 1 neighbouring positions; so every passage of
 MIN_WORDS words holds a kept position, at the same place in each of its copies.
-Kept positions are grouped by the 64-bit hash of their KEY words; around those that
-another document shares, every passage of MIN_WORDS words is grouped by its own hash.
-No suffixes are sorted and no words compared: equal hashes count as equal passages.
-Overlapping repeated passages merge into spans.
+Kept suffixes whose first KEY words another document has too are extended to the left
+and right, to every passage of MIN_WORDS words that was kept for them. Those are sorted by a
+fingerprint of 128 bits, neighbours are compared, and overlapping repeated passages merge
+into spans. Passages that are so common that they would fill a task are told apart by an aggregate instead.
+
+A suffix array would order suffixes by their words and take a neighbour's common prefix for the longest match;
+with sparse suffixes the partner that agrees to the left need not be a neighbour, so
+the extended passages are sorted, not the suffixes. Words are compared by fingerprints alone.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quern.llm.common import small_batches, table, texts, written
+from quern.llm.common import groups, packed, small_batches, table, texts, written
 from quern.llm.decontaminate import merged
 
 MIN_WORDS = 50
 KEY = 25
+#: A passage that more rows have than this, and than this part of all, is common.
+COMMON_ROWS, COMMON_PART = 10_000, 50_000
 _B = 0x9E3779B97F4A7C15
 _M = 1 << 64
 
@@ -87,11 +93,11 @@ def sparse_suffixes(docs: DataFrame) -> DataFrame:
 
 
 def passages(marked: DataFrame) -> DataFrame:
-    """marked(doc_id, text, at) to (doc_id, start, hash) of each MIN_WORDS passage around a position of ``at``."""
+    """marked(doc_id, text, at) to (doc_id, start, hash, check) of each MIN_WORDS passage around a position of ``at``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, start, full = [], [], []
+            rows, start, full, check = [], [], [], []
             for r, (text, at) in enumerate(zip(texts(batch), batch.column("at").to_pylist())):
                 h = word_hashes(text)
                 if len(h) < MIN_WORDS:
@@ -100,11 +106,37 @@ def passages(marked: DataFrame) -> DataFrame:
                 rows.append(np.full(len(s), r))
                 start.append(s.astype(np.int32))
                 full.append(run_hashes(h, MIN_WORDS)[s].view(np.int64))
+                with np.errstate(over="ignore"):
+                    check.append(run_hashes(_mixed(h * np.uint64(_B)), MIN_WORDS)[s].view(np.int64))
             if rows:
                 ids = batch.column("doc_id").take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(start)), pa.array(np.concatenate(full))], ["doc_id", "start", "hash"])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x)) for x in (start, full, check))], ["doc_id", "start", "hash", "check"])
 
-    return marked.mapInArrow(run, f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, start int, hash long")
+    return marked.mapInArrow(run, f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, start int, hash long, check long")
+
+
+def again(around: DataFrame) -> DataFrame:
+    """(doc_id, start, again) of passages that another document has; again: not the first of its copies by (doc_id, start)."""
+    limit = max(COMMON_ROWS, around.count() // COMMON_PART)
+    by = ["hash", "check"]
+    counted = around.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
+    # At most COMMON_PART rows.
+    common = F.broadcast(written(counted.where(F.col("n") > limit), "common"))
+    known = around.join(common, by).where("first.doc_id <> last").select("doc_id", "start", (F.struct("doc_id", "start") != F.col("first")).alias("again"))
+    rest = around.join(common.select(*by), by, "left_anti").repartition(*by).sortWithinPartitions(*by, "doc_id", "start")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in groups(batches, by):
+            ends = at[1:] if at[-1] == t.num_rows else np.append(at[1:], t.num_rows)
+            at = at[: len(ends)]
+            doc, start = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
+            head = np.repeat(at, ends - at)
+            repeated = np.repeat(doc[at] != doc[ends - 1], ends - at)
+            if repeated.any():
+                later = (doc != doc[head]) | (start != start[head])
+                yield from t.select(["doc_id", "start"]).append_column("again", pa.array(later)).filter(pa.array(repeated)).to_batches()
+
+    return known.unionByName(rest.mapInArrow(run, f"doc_id {around.schema['doc_id'].dataType.simpleString()}, start int, again boolean"))
 
 
 SPANS = "array<struct<s:int,e:int>>"
@@ -133,25 +165,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     suffixes = written(sparse_suffixes(docs), "suffixes")
-    shared = suffixes.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
+    # Written, so that a join with it has plain shuffles on both sides, of which a hot key's can be split.
+    shared = written(suffixes.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key"), "shared")
     at = suffixes.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
     around = written(passages(docs.join(at, "doc_id")), "passages")
-    seat = F.struct("doc_id", "start")
-    twice = around.groupBy("hash").agg(F.min(seat).alias("first"), F.max("doc_id").alias("b")).where("first.doc_id <> b").select("hash", "first")
-    hits = around.join(twice, "hash").select("doc_id", "start", (seat != F.col("first")).alias("again"))
+    hits = again(around)
     per = hits.groupBy("doc_id").agg(F.collect_set("start").alias("starts"), F.collect_set(F.when(F.col("again"), F.col("start"))).alias("later"))
     return _merge(per)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the words of their cuts; a changed text has its words joined by single spaces."""
-    cuts = repeated_spans(docs).where(F.size("cuts") > 0).select(F.col("doc_id").alias("_id"), F.col("cuts").alias("_cuts"))
-    x = docs.join(cuts, docs["doc_id"] == cuts["_id"], "left")
-    words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    ends = F.concat(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), F.col("_cuts"))
-    starts = F.concat(F.col("_cuts"), F.array(F.struct(F.lit(2**31 - 1).alias("s"), F.lit(2**31 - 1).alias("e"))))
+    """docs without the words of their cuts; a changed text has its words joined by single spaces. Columns of any name stay."""
+    cuts = repeated_spans(docs).where(F.size("cuts") > 0).select(F.col("doc_id").alias("id"), "cuts")
+    x = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("doc"), F.col("text").alias("old"))
+    x = x.join(cuts, x["doc"] == cuts["id"], "left")
+    words = F.filter(F.split("old", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    ends = F.concat(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), F.col("cuts"))
+    starts = F.concat(F.col("cuts"), F.array(F.struct(F.lit(2**31 - 1).alias("s"), F.lit(2**31 - 1).alias("e"))))
     kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice(words, a["e"] + 1, F.least(b["s"], F.size(words)) - a["e"])))
-    return x.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(docs.columns)
+    text = F.when(F.col("cuts").isNull(), F.col("old")).otherwise(F.array_join(kept, " "))
+    return x.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op8_repeats(spark, folder: str) -> DataFrame:
