@@ -36,10 +36,10 @@ def newline_count(content: Column) -> Column:
 
 def shannon_entropy(line: Column) -> Column:
     """Bits per character; 0 for an empty line."""
-    chars = F.split(line, "")
     n = F.length(line)
-    share = lambda c: F.size(F.filter(chars, lambda y: y == c)) / n
-    bits = F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+    # Equal characters stand together in sorted order, so each run is one of them.
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(line, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    bits = F.aggregate(F.transform(runs, lambda r: F.length(r) / n), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(n > 0, bits).otherwise(F.lit(0.0))
 
 

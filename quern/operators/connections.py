@@ -45,13 +45,13 @@ def file_connections(occurrences: DataFrame, sources: DataFrame | None = None) -
     stats = token_stats(occurrences).where((F.col("total") >= 2) & (F.col("file_count") >= 2) & (F.col("file_count") <= F.greatest(F.col("total") / 2, F.lit(2))))
     banded = file_tokens(occurrences).join(stats.select("normalized", "idf"), "normalized")
     left = banded if sources is None else banded.join(sources.select("file_id").distinct(), "file_id", "left_semi")
-    right = banded.select("normalized", *(F.col(c).alias(f"o_{c}") for c in ("file_id", "in_header", "in_body", "ord")))
+    right = banded.select("normalized", *(F.col(c).alias(f"o_{c}") for c in ("file_id", "in_header", "in_body")))
     kind, direction = _link("in_header", "in_body", "o_in_header", "o_in_body")
     pairs = left.join(right, "normalized").where("file_id <> o_file_id").select(
-        F.col("file_id").alias("source_file"), F.col("o_file_id").alias("target_file"), kind.alias("type"), direction.alias("direction"), "normalized", "idf", "ord", "o_ord"
+        F.col("file_id").alias("source_file"), F.col("o_file_id").alias("target_file"), kind.alias("type"), direction.alias("direction"), "normalized", "idf", "ord"
     )
     edges = pairs.groupBy("source_file", "target_file", "type", "direction").agg(
-        F.sum("idf").alias("strength"), F.array_sort(F.collect_list(F.struct("ord", "normalized"))).alias("t"), F.min(F.struct("ord", "o_ord")).alias("first_ord")
+        F.sum("idf").alias("strength"), F.array_sort(F.collect_list(F.struct("ord", "normalized"))).alias("t"), F.min("ord").alias("first_ord")
     )
     return edges.withColumn("shared_tokens", F.transform("t", lambda x: x["normalized"])).drop("t")
 
@@ -62,6 +62,6 @@ def top_connections(edges: DataFrame, limit: int = 5) -> DataFrame:
     Ties go by the first shared token of the source, then by target, type and
     direction, so the order is total.
     """
-    order = [F.round("strength", 9).desc(), "target_file", "type", "direction"]
+    order = [F.round("strength", 9).desc(), "first_ord", "target_file", "type", "direction"]
     ranked = edges.withColumn("rank", F.row_number().over(W.partitionBy("source_file").orderBy(*order)))
     return ranked.where(F.col("rank") <= limit) if limit else ranked

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -10,9 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators.connections import file_connections
+from quern.operators.routing import CACHE_VERSION
 from quern.operators.tokens import OCCURRENCES
 
 CAPACITY = 256
+MARKER = "at long, path string"
+#: Markers that are tried, newest first.
+KEPT = 8
 
 
 def remove_files(occurrences: DataFrame, paths: DataFrame) -> DataFrame:
@@ -39,21 +44,26 @@ def vocabulary_size(occurrences: DataFrame) -> DataFrame:
 
 
 def save_index(occurrences: DataFrame, folder: str) -> str:
-    """Write to a new path and point the marker at it, so a reader never sees half an index."""
+    """Write to a new path and add a marker that names it, so a reader sees this index or the one before, never half of one."""
     path = f"{folder}/v-{uuid.uuid4().hex}"
     occurrences.write.parquet(path)
     spark = occurrences.sparkSession
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    spark.createDataFrame([(time.time_ns(), path)], MARKER).coalesce(1).write.mode("append").json(f"{folder}/current")
     return path
 
 
 def load_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The saved index; an empty one if there is none or it can't be read."""
+    """The index that was saved last and can be read; an empty one if there is none. Broken markers count as none."""
     try:
-        path = spark.read.schema("path string").json(f"{folder}/current").first()
-        return spark.read.schema(OCCURRENCES).parquet(path[0]) if path else spark.createDataFrame([], OCCURRENCES)
+        paths = [r["path"] for r in spark.read.schema(MARKER).json(f"{folder}/current").where("path IS NOT NULL").orderBy(F.desc("at")).limit(KEPT).collect()]
     except AnalysisException:
-        return spark.createDataFrame([], OCCURRENCES)
+        paths = []
+    for path in paths:
+        try:
+            return spark.read.schema(OCCURRENCES).parquet(path)
+        except AnalysisException:
+            continue
+    return spark.createDataFrame([], OCCURRENCES)
 
 
 def purge_outlines(outlines: DataFrame, paths: DataFrame) -> DataFrame:
@@ -64,8 +74,20 @@ def purge_outlines(outlines: DataFrame, paths: DataFrame) -> DataFrame:
 
 def missing_outlines(wanted: DataFrame, outlines: DataFrame) -> DataFrame:
     """Files whose outline isn't cached: anti join on path hash, modification second and version."""
-    keyed = wanted.withColumns({"path_hash": T.path_hash(F.col("file_path")), "mtime_s": T.mtime_seconds(F.col("mtime"))})
-    return keyed.join(outlines.select("path_hash", "mtime_s").distinct(), ["path_hash", "mtime_s"], "left_anti")
+    keys = ["path_hash", "mtime_s", "version"]
+    keyed = wanted.withColumns({"path_hash": T.path_hash(F.col("file_path")), "mtime_s": T.mtime_seconds(F.col("mtime")), "version": F.lit(CACHE_VERSION)})
+    return keyed.join(outlines.select(keys).distinct(), keys, "left_anti")
+
+
+def invalidate(edits: DataFrame, outlines: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an edit leaves behind: outlines and index without the edited files, and the edits with their response and logged decision.
+
+    edits(file_path, exists): an empty or null path, and a file that isn't there, change nothing and log nothing.
+    """
+    done = F.coalesce((F.col("file_path") != "") & F.col("exists"), F.lit(False))
+    paths = edits.where(done).select("file_path").distinct()
+    answered = edits.withColumns({"response": F.lit("{}"), "decision": F.when(done, "invalidated")})
+    return purge_outlines(outlines, paths), remove_files(occurrences, paths.withColumnRenamed("file_path", "file_id")), answered
 
 
 def replay_connections(occurrences: DataFrame, order: list[str], capacity: int = CAPACITY) -> dict[str, DataFrame]:

@@ -95,12 +95,11 @@ def label_lines(lines: DataFrame) -> DataFrame:
 def boundary_candidates(signals: DataFrame) -> DataFrame:
     """Cuts that single lines of a whole file suggest, with scores, before any thinning."""
     steps = entropy_gradient(smoothed_entropy(running_depth(signals), 15))
-    whole = W.partitionBy("file_id")
-    sized = steps.withColumn("n", F.count("*").over(whole))
-    sized = sized.withColumn("gradient", F.when(F.col("n") >= 31, F.col("gradient")).otherwise(0.0))
-    ordered = F.array_sort(F.collect_list("gradient").over(whole))
-    tenth = F.element_at(ordered, F.floor(F.size(ordered) * 0.9).cast("int") + 1)
     o = by_file()
+    # The element at floor(0.9 n) of the file's sorted gradients, by a rank among them.
+    sized = steps.withColumns({"n": F.count("*").over(W.partitionBy("file_id")), "place": F.row_number().over(W.partitionBy("file_id").orderBy("gradient"))})
+    sized = sized.withColumn("gradient", F.when(F.col("n") >= 31, F.col("gradient")).otherwise(0.0))
+    tenth = F.max(F.when(F.col("place") == F.floor(F.col("n") * 0.9) + 1, F.col("gradient"))).over(W.partitionBy("file_id"))
     x = sized.withColumns(
         {
             "scale": F.when(tenth > 0.01, tenth).otherwise(T.GRADIENT_SCALE),

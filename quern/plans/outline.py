@@ -17,4 +17,4 @@ def generate_outlines(files: DataFrame, max_depth: int | None = None, with_conne
     """files(file_id, content) to one outline each; links are those of the whole snapshot."""
     counts = line_counts(files).select("file_id", F.col("line_count").cast("int").alias("line_count"))
     links = top_connections(file_connections(token_occurrences(files, max_depth))) if with_connections else None
-    return render_outline(counts, outline_nodes(files, max_depth), links, max_depth or RENDER_DEPTH)
+    return render_outline(counts, outline_nodes(files, max_depth), links, RENDER_DEPTH if max_depth is None else max_depth)

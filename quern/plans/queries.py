@@ -117,9 +117,9 @@ def running_depth(spark: SparkSession, folder: str) -> DataFrame:
     return L.running_depth(L.line_signals(L.split_lines(S.pages_as_files(spark, folder)))).select("file_id", "line_no", "bracket_depth", "tag_depth")
 
 
-@query(f"WITH {V2}, {LINES}, {SIGNALS}, {smooth_sql('smooth', 'signals', 2)} SELECT file_id, line_no, round(smoothed, 6) AS smoothed FROM smooth")
+@query(f"WITH {V3}, {LINES}, {SIGNALS}, {smooth_sql('smooth', 'signals', 2)} SELECT file_id, line_no, round(smoothed, 6) AS smoothed FROM smooth")
 def smoothed_entropy(spark: SparkSession, folder: str) -> DataFrame:
-    signals = L.line_signals(L.split_lines(S.sources_as_files(spark, folder)))
+    signals = L.line_signals(L.split_lines(S.pages_as_files(spark, folder)))
     return L.smoothed_entropy(signals, 5).select("file_id", "line_no", r6("smoothed").alias("smoothed"))
 
 
@@ -132,18 +132,18 @@ def entropy_gradient(spark: SparkSession, folder: str) -> DataFrame:
 TENTH = "list_sort(list(gradient))[CAST(floor(count(*) * 0.9) AS BIGINT) + 1]"
 
 
-@query(f"WITH {V2}, {LINES}, {SIGNALS}, {smooth_sql('smooth', 'signals', 7)}, {GRADIENTS} SELECT file_id, round({TENTH}, 6) AS p90 FROM grads GROUP BY file_id")
+@query(f"WITH {V3}, {LINES}, {SIGNALS}, {smooth_sql('smooth', 'signals', 7)}, {GRADIENTS} SELECT file_id, round({TENTH}, 6) AS p90 FROM grads GROUP BY file_id")
 def gradient_p90(spark: SparkSession, folder: str) -> DataFrame:
-    signals = L.line_signals(L.split_lines(S.sources_as_files(spark, folder)))
+    signals = L.line_signals(L.split_lines(S.pages_as_files(spark, folder)))
     return L.gradient_p90(L.entropy_gradient(L.smoothed_entropy(signals, 15))).select("file_id", r6("p90").alias("p90"))
 
 
 @query(
-    f"WITH {V2}, {LINES}, {SIGNALS}, s AS (SELECT file_id, avg(entropy) AS region_mean, avg(entropy) FILTER (WHERE NOT is_blank) AS m, stddev_pop(entropy) FILTER (WHERE NOT is_blank) AS d FROM signals GROUP BY file_id) "
+    f"WITH {V3}, {LINES}, {SIGNALS}, s AS (SELECT file_id, avg(entropy) AS region_mean, avg(entropy) FILTER (WHERE NOT is_blank) AS m, stddev_pop(entropy) FILTER (WHERE NOT is_blank) AS d FROM signals GROUP BY file_id) "
     "SELECT file_id, round(region_mean, 6) AS region_mean, round(CASE WHEN m > 0 THEN d / m ELSE 0 END, 6) AS cv FROM s"
 )
 def region_cv(spark: SparkSession, folder: str) -> DataFrame:
-    stats = L.entropy_stats(L.line_signals(L.split_lines(S.sources_as_files(spark, folder))))
+    stats = L.entropy_stats(L.line_signals(L.split_lines(S.pages_as_files(spark, folder))))
     return stats.select("file_id", r6("region_mean").alias("region_mean"), r6("cv").alias("cv"))
 
 

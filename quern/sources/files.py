@@ -13,10 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """files(file_id, mtime, content) from a folder; bytes are decoded as UTF-8 and line ends stay as they are."""
+    """files(file_id, mtime, content) from a folder; bytes are decoded as UTF-8, broken ones become U+FFFD, and line ends stay as they are.
+
+    Files without a byte are not listed, as the reader leaves them out.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select(
-        F.regexp_replace("path", "^file:/*", "/").alias("file_id"), (F.unix_micros("modificationTime") / 1000).alias("mtime"), F.decode("content", "UTF-8").alias("content")
+        F.regexp_replace("path", "^file:/*", "/").alias("file_id"), (F.unix_micros("modificationTime") / 1000).alias("mtime"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")
     )
 
 
