@@ -26,9 +26,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where it is unset, as in tests, a temporary one."""
+    """The cluster's checkpoint folder; where it is unset and all runs on this machine, as in tests, a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         kept = tempfile.TemporaryDirectory(prefix="quern-")
         atexit.register(kept.cleanup)
         found = f"file://{kept.name}"

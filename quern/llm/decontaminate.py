@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quern.llm.common import small_batches, table, texts
+from quern.llm.common import packed, small_batches, table, texts, written
 
 WINDOW = 13
 #: Contaminated: hit words times SHARE reach all words.
 SHARE = 20
 #: Text of one block of phrases that is sent to every task.
 BLOCK_BYTES = 4 << 20
+JOB_BLOCKS = 8
 SAMPLE = 8
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -99,7 +100,8 @@ class FMIndex:
         self.before = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=sigma + 1))])
         self.wavelet = WaveletMatrix(self.bwt, sigma + 1)
         self.marked = sa % SAMPLE == 0
-        self.position = np.where(self.marked, sa, 0)
+        self.position = sa[self.marked].astype(np.int32)
+        self.sampled = np.cumsum(self.marked, dtype=np.int32) - 1
         self.size = len(t)
 
     def search(self, rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,7 @@ class FMIndex:
             c = self.bwt[at[todo]]
             at[todo] = self.before[c] + self.wavelet.rank(c, at[todo])
             steps[todo] += 1
-        return self.position[at] + steps
+        return self.position[self.sampled[at]] + steps
 
 
 def occurrences(docs: list[np.ndarray], phrases: Phrases) -> Iterator[tuple[int, int, int]]:
@@ -173,9 +175,10 @@ FOUND = "_words long, _spans array<struct<s:int,e:int>>, _items array<string>"
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with _words, _spans (merged word ranges, end exclusive) and _items (ids as text, sorted).
 
-    The phrases come to the driver and go out in blocks of at most BLOCK_BYTES of
-    item text plus one item, however large the benchmark is; each block is a pass
-    of the same rows through one more map stage, without a shuffle. Null or empty
+    The phrases come to the driver and go out in blocks of about BLOCK_BYTES of
+    item text, however large the benchmark is; each block is a pass
+    of the same rows through one more map stage, without a shuffle, and after JOB_BLOCKS of them
+    the rows are written, so no job holds more. Columns of docs that are called _words, _spans or _items are replaced. Null or empty
     texts have no words and no hits; an item without words has no window, one with a
     null id counts hits but isn't listed. An empty table gives no rows.
     """
@@ -183,11 +186,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     small_batches(spark)
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    docs = docs.select(*(c for c in docs.columns if c not in ("_words", "_spans", "_items")))
     names = docs.columns
     out = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<struct<s:int,e:int>>"), "_items": F.array().cast("array<string>")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + FOUND
     dealt = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     for b in range(blocks):
+        if b and b % JOB_BLOCKS == 0:
+            out = written(out, "contamination")
         items = [(r["item"], bytes(r["text"])) for r in dealt.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
         shared = spark.sparkContext.broadcast(Phrases(items, window))
 
@@ -218,8 +224,9 @@ def is_contaminated():
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; the rest stays as it is."""
-    return contamination(docs, benchmark).where(~is_contaminated()).select(docs.columns)
+    """docs without the contaminated ones; the rest stays as it is, columns of any name included."""
+    rows = docs.select(packed(docs).alias("row"), "text")
+    return contamination(rows, benchmark).where(~is_contaminated()).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_decontaminate(spark, folder: str) -> DataFrame:

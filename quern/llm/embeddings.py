@@ -274,3 +274,13 @@ def vector_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataF
 
 def op7_embeddings(spark, folder: str) -> DataFrame:
     return vector_components(table(spark, folder, "embeddings"))
+
+
+OP7_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM v UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u),
+root AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u), n AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN root USING (vec_id) LEFT JOIN n USING (vec_id)
+"""

@@ -16,11 +16,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from quern.llm.common import small_batches, table, texts, written
+from quern.llm.common import packed, small_batches, table, texts, written
 
 MAX_EDITS = 1
 #: Parts of a line of which a partner has all but one; in shorter lines some are empty.
 SEGMENTS = 16
+#: Variants of one Arrow batch, plus those of one line.
+VARIANT_ROWS = 100_000
 
 
 def normal(line: bytes) -> bytes:
@@ -100,9 +102,10 @@ def fine_keys(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, line in enumerate(texts(batch, "norm")):
-                keys = _signed(segment_keys(line, SEGMENTS))
-                yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array([k] * len(keys))), keys], ["h", "key"])
+            if batch.num_rows:
+                keys = [segment_keys(line, SEGMENTS) for line in texts(batch, "norm")]
+                at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                yield pa.RecordBatch.from_arrays([batch.column("h").take(at), _signed([x for k in keys for x in k])], ["h", "key"])
 
     return lines.select("h", "norm").mapInArrow(run, "h long, key long")
 
@@ -136,14 +139,23 @@ def variants(lines: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batch, at, keys, place):
+            at = pa.array(np.repeat(at, [len(k) for k in keys]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(place).astype(np.int32)), *(batch.column(c).take(at) for c in ("h", "doc_id", "line_no"))], ["key", "place", "h", "doc_id", "line_no"])
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                whole, less = variant_hashes(one.column("norm")[0].as_py())
-                keys = np.concatenate([[whole], less, less])
-                place = np.concatenate([[-1], np.full(len(less), -2), np.arange(len(less))]).astype(np.int32)
-                zero = pa.array(np.zeros(len(keys), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(place), *(one.column(c).take(zero) for c in ("h", "doc_id", "line_no"))], ["key", "place", "h", "doc_id", "line_no"])
+            at, keys, place, size = [], [], [], 0
+            for k, line in enumerate(batch.column("norm").to_pylist()):
+                whole, less = variant_hashes(line)
+                at.append(k)
+                keys.append(np.concatenate([[whole], less, less]))
+                place.append(np.concatenate([[-1], np.full(len(less), -2), np.arange(len(less))]))
+                size += len(keys[-1])
+                if size >= VARIANT_ROWS:
+                    yield rows(batch, at, keys, place)
+                    at, keys, place, size = [], [], [], 0
+            if at:
+                yield rows(batch, at, keys, place)
 
     kind = lines.schema["doc_id"].dataType.simpleString()
     return lines.select("h", "doc_id", "line_no", "norm").mapInArrow(run, f"key long, place int, h long, doc_id {kind}, line_no int")
@@ -192,15 +204,17 @@ def without(text: Column, dropped: Column) -> Column:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without dropped lines; n_chars follows the text. A document that loses its last filled line goes.
 
-    Null texts, and documents without an id, stay as they are.
+    Null texts, and documents without an id, stay as they are, and so do columns of any other name.
     """
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    x = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_dropped")))
-    x = x.withColumn("text", text).where(F.col("_dropped").isNull() | (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
-    if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return x.select(docs.columns)
+    gone = dropped_lines(docs).select(F.col("doc_id").alias("id"), "dropped")
+    x = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("doc"), F.col("text").alias("old"))
+    x = x.join(gone, x["doc"] == gone["id"], "left")
+    whole = F.col("dropped").isNull()
+    x = x.withColumn("new", F.when(whole, F.col("old")).otherwise(without(F.col("old"), F.col("dropped"))))
+    x = x.where(whole | (F.length(F.regexp_replace("new", r"\s+", "")) > 0))
+    own = lambda c: F.col("row").getField(c)
+    changed = {"text": F.col("new"), "n_chars": F.when(whole, own("n_chars")).otherwise(F.length("new").cast("long"))}
+    return x.select(*((changed[c] if c in changed else own(c)).alias(c) for c in docs.columns))
 
 
 def op9_lines(spark, folder: str) -> DataFrame:

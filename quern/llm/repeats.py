@@ -187,7 +187,24 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     return x.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
+def _spans_sql(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT doc_id, count(*) AS n, sum(e - s) AS words, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM
+(SELECT doc_id, min(s) AS s, max(s) + {MIN_WORDS} AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM
+(SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {MIN_WORDS} THEN 0 ELSE 1 END AS new FROM {source})) GROUP BY doc_id, g) GROUP BY doc_id)"""
+
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+p AS (SELECT doc_id, s, array_to_string(w[s + 1:s + {MIN_WORDS}], ' ') AS t FROM (SELECT doc_id, w, unnest(range(0, len(w) - {MIN_WORDS} + 1)) AS s FROM d WHERE len(w) >= {MIN_WORDS})),
+r AS (SELECT t, min(doc_id) AS a, min_by(s, (doc_id, s)) AS b FROM p GROUP BY t HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, s, doc_id <> a OR s <> b AS later FROM p JOIN r USING (t)),
+{_spans_sql('x', 'hit')}, {_spans_sql('y', '(SELECT * FROM hit WHERE later)')}
+SELECT doc_id, CAST(x.n AS INTEGER) AS n_spans, CAST(x.words AS INTEGER) AS n_repeated, CAST(coalesce(y.words, 0) AS INTEGER) AS n_cut, x.spans, coalesce(y.spans, '') AS cuts FROM x LEFT JOIN y USING (doc_id)
+"""
+
+
 def op8_repeats(spark, folder: str) -> DataFrame:
     found = repeated_spans(table(spark, folder, "documents"))
     length = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x["e"] - x["s"])
-    return found.select("doc_id", F.size("spans").alias("n_spans"), length("spans").alias("n_repeated"), length("cuts").alias("n_cut"), "spans", "cuts")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["s"], x["e"])), ",").alias(c)
+    return found.select("doc_id", F.size("spans").alias("n_spans"), length("spans").alias("n_repeated"), length("cuts").alias("n_cut"), listed("spans"), listed("cuts"))

@@ -86,7 +86,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
             at = at[: len(size)]
             two = at[size == 2]
             a, b = fp[two], fp[two + 1]
-            near = np.bitwise_count(a ^ b) <= MAX_BITS
+            # Lists of two are tallied together.
+            near = (a.view(np.uint8).reshape(-1, 8) == b.view(np.uint8).reshape(-1, 8)).sum(axis=1) >= MIN_BYTES
+            near[near] = np.bitwise_count(a[near] ^ b[near]) <= MAX_BITS
             u, v = [a[near]], [b[near]]
             for s, n in zip(at[size > 2], size[size > 2]):
                 part = fp[s : s + n]

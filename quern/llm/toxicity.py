@@ -1,11 +1,14 @@
 """Toxicity by a classifier chain of linear models over hashed word features.
 
 Only ``toxic`` is labelled, so the earlier categories of the chain are learned
-aspects of it: the strongest toxic words of the training sample are dealt to
-ASPECTS groups by the documents they share, and each aspect asks whether a
-document has words of its group. Every link is a logistic regression that also
+aspects of it: the strong toxic features of the training rows are dealt in turn, by falling
+support, to ASPECTS groups, and each aspect asks whether a toxic
+document has a feature of its group. Every link is a logistic regression that also
 sees the probabilities of the links before it; in training those come from
-models that did not see the row (out-of-fold), in scoring from the full models.
+models that did not see the row (out-of-fold), features and groups included, in scoring from the full models.
+
+Null and empty texts have no features and score the prior of such rows; an empty table gives no rows, one without labels scores of zero.
+Rows that repeat score alike; a document labelled both ways counts once for each; equal texts share a fold.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quern.llm.common import crc_mod, small_batches, table, texts
+from quern.llm.common import crc_mod, packed, small_batches, table, texts
 from quern.llm.quality import admitted_labels, labelled_sample
 
 #: Rows of either label that the fit may use.
@@ -30,7 +33,7 @@ THRESHOLD = 0.5
 #: Lengths of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
 #: A feature is evidence if the lower confidence bound of its log-odds reaches STRONG and SUPPORT documents have it.
-STRONG, SUPPORT, DEVIATIONS = 1.5, 5, 2.0
+STRONG, SUPPORT, DEVIATIONS = 1.5, 3, 1.5
 _STRIP = b".,;:!?\"'()[]{}"
 _CACHE: dict[bytes, tuple[int, ...]] = {}
 
@@ -118,20 +121,24 @@ class Chain:
     """Links in order: the aspects, then toxic itself. ``weight`` is how many labelled rows each row stands for."""
 
     def __init__(self, docs: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray, weight: np.ndarray):
-        targets = [*aspects(docs, toxic), toxic.astype(float)] if len(docs) else []
         self.links: list[Linear] = []
         seen = np.zeros((len(docs), 0))
-        for y in targets:
+        parts = [(np.flatnonzero(fold == f), np.flatnonzero(fold != f)) for f in range(FOLDS)] if len(docs) else []
+        parts = [(held, rest, [docs[i] for i in rest]) for held, rest in parts if len(held)]
+        folded = [self.targets(some, toxic[rest]) for _, rest, some in parts]
+        for k, y in enumerate(self.targets(docs, toxic) if len(docs) else []):
             out = np.full(len(docs), np.average(y, weights=weight))
-            for f in range(FOLDS):
-                held = np.flatnonzero(fold == f)
-                rest = np.flatnonzero(fold != f)
-                if len(held) and len(np.unique(y[rest])) == 2:
-                    out[held] = Linear([docs[i] for i in rest], y[rest], seen[rest], weight[rest]).predict([docs[i] for i in held], seen[held])
+            for (held, rest, some), targets in zip(parts, folded):
+                if len(np.unique(targets[k])) == 2:
+                    out[held] = Linear(some, targets[k], seen[rest], weight[rest]).predict([docs[i] for i in held], seen[held])
             self.links.append(Linear(docs, y, seen, weight))
             seen = np.column_stack([seen, out])
         self.folded = seen
 
+    @staticmethod
+    def targets(docs: list[np.ndarray], toxic: np.ndarray) -> list[np.ndarray]:
+        return [*aspects(docs, toxic), toxic.astype(float)]
+
     def predict(self, docs: list[np.ndarray]) -> np.ndarray:
         """One column per link; without training rows, one of zeros."""
         seen = np.zeros((len(docs), 0))
@@ -184,13 +191,14 @@ def score_toxicity(docs: DataFrame, chain: Chain, columns: list[str] | None = No
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
-    """docs without those scored toxic; rows keep their columns."""
+    """docs without those scored toxic; rows keep their columns, of any name."""
     chain = fit_toxicity(docs if train_docs is None else train_docs, labels)
-    return score_toxicity(docs, chain, docs.columns).where(F.col("_score") < THRESHOLD).select(docs.columns)
+    rows = docs.select(packed(docs).alias("row"), "text")
+    return score_toxicity(rows, chain, ["row"]).where(F.col("_score") < THRESHOLD).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_toxicity(spark, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
     score = F.col("_score")
-    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), *(F.col(f"_aspect_{k + 1}").alias(f"aspect_{k + 1}") for k in range(ASPECTS)), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), (score >= THRESHOLD).alias("toxic"))
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), *(F.col(f"_aspect_{k + 1}").alias(f"aspect_{k + 1}") for k in range(ASPECTS)), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), (score >= THRESHOLD).alias("toxic"))
