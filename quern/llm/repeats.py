@@ -115,15 +115,49 @@ def passages(marked: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, start int, hash long, check long")
 
 
+def commons(around: DataFrame) -> dict[tuple[int, int], tuple]:
+    """Common passages by fingerprint: the first of their copies by (doc_id, start), and whether another document has them; at most COMMON_PART."""
+    limit = max(COMMON_ROWS, around.count() // COMMON_PART)
+    by = ["hash", "check"]
+    counted = around.groupBy(*by).agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    common = written(counted.where(F.col("n") > limit), "common")
+    named = F.broadcast(common.select(*(F.col(c).alias(f"c_{c}") for c in by), "a", "b"))
+    firsts = around.join(named, (F.col("hash") == F.col("c_hash")) & (F.col("check") == F.col("c_check")) & (F.col("doc_id") == F.col("a")))
+    rows = firsts.groupBy(*by).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.min("start").alias("start")).collect()
+    return {(r["hash"], r["check"]): (r["a"], r["start"], r["a"] != r["b"]) for r in rows}
+
+
 def again(around: DataFrame) -> DataFrame:
     """(doc_id, start, again) of passages that another document has; again: not the first of its copies by (doc_id, start)."""
-    limit = max(COMMON_ROWS, around.count() // COMMON_PART)
+    common = commons(around)
+    order = sorted(common)
+    keys = np.array([k for k, _ in order], dtype=np.int64)
+    shared = around.sparkSession.sparkContext.broadcast((keys, [(k, *common[k]) for k in order]))
     by = ["hash", "check"]
-    counted = around.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
-    # At most COMMON_PART rows.
-    common = F.broadcast(written(counted.where(F.col("n") > limit), "common"))
-    known = around.join(common, by).where("first.doc_id <> last").select("doc_id", "start", (F.struct("doc_id", "start") != F.col("first")).alias("again"))
-    rest = around.join(common.select(*by), by, "left_anti").repartition(*by).sortWithinPartitions(*by, "doc_id", "start")
+    kind = around.schema["doc_id"].dataType.simpleString()
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with again, which is null unless the passage is common."""
+        keys, found = shared.value
+        for batch in batches:
+            state = np.full(batch.num_rows, -1, dtype=np.int8)
+            if len(keys) and batch.num_rows:
+                h = batch.column("hash").to_numpy()
+                at = np.searchsorted(keys, h)
+                some = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h)
+                doc, start, check = (batch.column(c).take(pa.array(some)).to_pylist() for c in ("doc_id", "start", "check"))
+                for k, d, s, c in zip(some, doc, start, check):
+                    for p in range(at[k], len(keys)):
+                        key, first, begin, repeated = found[p]
+                        if key[0] != h[k]:
+                            break
+                        if key[1] == c:
+                            state[k] = (2 if (d, s) != (first, begin) else 1) if repeated else 0
+            yield batch.append_column("state", pa.array(state))
+
+    marked = around.mapInArrow(split, f"doc_id {kind}, start int, hash long, check long, state tinyint")
+    known = marked.where("state > 0").select("doc_id", "start", (F.col("state") == 2).alias("again"))
+    rest = marked.where("state = -1").drop("state").repartition(*by).sortWithinPartitions(*by, "doc_id", "start")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, by):
@@ -136,7 +170,7 @@ def again(around: DataFrame) -> DataFrame:
                 later = (doc != doc[head]) | (start != start[head])
                 yield from t.select(["doc_id", "start"]).append_column("again", pa.array(later)).filter(pa.array(repeated)).to_batches()
 
-    return known.unionByName(rest.mapInArrow(run, f"doc_id {around.schema['doc_id'].dataType.simpleString()}, start int, again boolean"))
+    return known.unionByName(rest.mapInArrow(run, f"doc_id {kind}, start int, again boolean"))
 
 
 SPANS = "array<struct<s:int,e:int>>"
