@@ -97,7 +97,7 @@ def period_slots(sources: DataFrame) -> DataFrame:
 MIXED = ("mix_block", "mix_slot", "mix_place", "mix_release", "mix_due")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_chars: int = BLOCK_CHARS, chars: Column | None = None) -> DataFrame:
     """docs(doc_id, text, source, ...) with mix_block, mix_slot, mix_place and the block's release and due slots.
 
     Reading by (mix_slot, mix_place, doc_id) gives the mixture; every row has one
@@ -105,10 +105,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     characters and share the place of the next document; a long text stands where its first character does. An empty table gives no rows.
     Columns of any name stay, but those that are added replace columns of their names. A source's documents follow each other by
     the MD5 of their id, so a run of ids doesn't end up together. A source of any size is
-    spread over hash ranges, whose sizes add up to offsets.
+    spread over hash ranges, whose sizes add up to offsets. ``chars`` stands in for the length of the text, which docs then needn't have.
     """
+    size = F.length(F.coalesce("text", F.lit(""))) if chars is None else chars
     md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    x = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), _key(F.col("source")).alias("key"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), md5.alias("md5"))
+    x = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), _key(F.col("source")).alias("key"), size.cast("long").alias("chars"), md5.alias("md5"))
     sizes = x.groupBy("key").agg(F.sum("chars").alias("c"))
     found = sizes.agg(F.count("*"), F.max("c")).first()
     digits = 3
@@ -138,7 +139,8 @@ def in_order(mixed: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark, folder: str) -> DataFrame:
-    return mix(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("text")
+    chars = F.length(F.coalesce("text", F.lit(""))).alias("chars")
+    return mix(table(spark, folder, "documents").select("doc_id", "source", chars), chars=F.col("chars")).drop("chars")
 
 
 OP6_SQL = f"""
