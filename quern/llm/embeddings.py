@@ -37,7 +37,7 @@ RECALL = 0.995
 NEIGHBOURS = 32
 #: Numbers of projections that a cell may have.
 DEPTHS = tuple(range(0, 33, 2))
-BLOCK = 512
+BLOCK = 128
 #: Pairs that are looked at together.
 CHUNK = 1 << 20
 SEED = 7
