@@ -40,8 +40,11 @@ def file_connections(occurrences: DataFrame, sources: DataFrame | None = None) -
     """Every link of every file, or of the files in ``sources(file_id)``.
 
     Tokens pair files only inside the document-frequency band of 2 to max(N/2, 2)
-    files, so no token of most files is ever joined with itself.
+    files, so no token of most files is ever joined with itself. Rows without a
+    file link with nothing and count as no file.
     """
+    # Both are named, so that all uses below have one plan and share its exchange.
+    occurrences = occurrences.where("file_id IS NOT NULL AND normalized IS NOT NULL")
     stats = token_stats(occurrences).where((F.col("total") >= 2) & (F.col("file_count") >= 2) & (F.col("file_count") <= F.greatest(F.col("total") / 2, F.lit(2))))
     banded = file_tokens(occurrences).join(stats.select("normalized", "idf"), "normalized")
     left = banded if sources is None else banded.join(sources.select("file_id").distinct(), "file_id", "left_semi")
