@@ -32,7 +32,7 @@ def distinct_tokens(lines: Iterable[tuple[int, str]]) -> Iterator[tuple[str, str
     """(normal form, text, line) by first appearance. A name whose normal form is known adds no parts either."""
     seen: set[str] = set()
     for number, line in lines:
-        for token in _TOKEN.findall(line):
+        for token in dict.fromkeys(_TOKEN.findall(line)):
             if token.lower() in seen:
                 continue
             for text in (token, *compound_parts(token)):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +32,32 @@ def documents_as_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sources_as_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One file per source: its texts in doc_id order, a blank line between. Meant for the small tables."""
+    """One file per source: its texts in doc_id order, a blank line between. Each is one row, so no query of a large table may use it."""
     docs = table(spark, folder, "documents").groupBy(F.col("source").alias("file_id"))
-    joined = docs.agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    joined = docs.agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").isNull(), "doc_id", "text"))).alias("t"))
     return joined.select("file_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("content"))
 
 
+def source_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that ``sources_as_files`` joins, one a row: (file_id, doc_id, text)."""
+    return table(spark, folder, "documents").select(F.col("source").alias("file_id"), "doc_id", "text")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once and read again: from the checkpoint folder, or from a temporary one where all runs on this machine."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        kept = tempfile.TemporaryDirectory(prefix="quern-")
+        atexit.register(kept.cleanup)
+        folder = f"file://{kept.name}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def pages_as_files(spark: SparkSession, folder: str) -> DataFrame:
     """One file per page, a line break between adjoining tags."""
     page = table(spark, folder, "pages")
