@@ -5,6 +5,7 @@ from quern.operators import joined as J
 from quern.operators import tree as T
 from quern.operators.connections import file_connections
 from quern.operators.tokens import token_occurrences
+from quern.plans.outline import generate_outlines
 from quern.plans.queries import QUERIES, edge_columns
 from quern.sources import files as S
 
@@ -19,11 +20,13 @@ def test_queries_equal_those_of_joined_files(spark, tmp_path):
     spark.createDataFrame(ODD, "doc_id long, source string, text string").write.parquet(f"{odd}/documents.parquet")
     for folder in (odd, "/root/testdata/sf0.001"):
         files = S.sources_as_files(spark, folder)
+        found = {tuple(r) for r in QUERIES["outline_text"](spark, folder).collect()}
+        assert found == {tuple(r) for r in generate_outlines(files).collect()} and len(found) > 5
         links = {tuple(r) for r in QUERIES["tree_connections"](spark, folder).collect()}
         assert links == {tuple(r) for r in edge_columns(file_connections(token_occurrences(files))).collect()} and len(links) > 5
 
 
-@pytest.mark.parametrize("name", ["tree_connections"])
+@pytest.mark.parametrize("name", ["outline_text", "tree_connections"])
 def test_no_row_holds_a_source(spark, monkeypatch, name):
     monkeypatch.setattr(S, "sources_as_files", None)
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
