@@ -1,7 +1,9 @@
-"""Quality scores by Bradley-Terry ranking: logistic loss on feature differences of preference pairs.
+"""Quality scores by Bradley-Terry ranking: logistic loss on feature differences of all preference pairs.
 
-The cut is a quantile of the training rows' scores: as large a share of the labelled documents falls
-below it as has label 0, a row of the bounded sample standing for as many as its label's rate says.
+Every labelled row of label 1 is preferred to every one of label 0. The loss of all these
+pairs needs no pair: it follows from sums over rows at scores WIDTH apart, between which
+a row is shared in proportion, so a pair's chance is read off to within 3e-5. The cut is a quantile of all training
+rows' scores: as many of the labelled documents fall below it as have label 0.
 Null and empty texts have the features of no words; rows that repeat score alike; a document labelled both ways counts once for each;
 an empty table gives no rows, one without labels of both kinds the same score for all.
 """
@@ -14,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quern.llm.common import crc_mod, small_batches, table, texts
+from quern.llm.common import crc_mod, small_batches, table, texts, written
 
-#: Rows of labels that the fit may use; drawn by hash, alike from either label.
-SAMPLE_ROWS = 8000
-PAIRS = 100_000
+#: Of scores that are summed; scores beyond REACH count as REACH, where a pair's chance is 0 or 1 in any case.
+WIDTH, REACH = 1 / 32, 32
+#: Scores that come to the driver to find the quantile among.
+NEAR_CUT = 50_000
 RIDGE = 1e-3
 #: A document counts as good from this score on.
 GOOD = 0.7
@@ -48,43 +51,128 @@ def features(text: bytes) -> np.ndarray:
     return out
 
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = 3) -> np.ndarray:
-    """Weights w that maximise the likelihood of better over worse, sigmoid(w (a - b)), by Newton steps."""
-    w = np.zeros(better.shape[1])
-    if not len(better) or not len(worse):
-        return w
-    g = np.random.default_rng(seed)
-    d = better[g.integers(len(better), size=pairs)] - worse[g.integers(len(worse), size=pairs)]
+def summed(rows: DataFrame, make, width: int) -> dict[int, np.ndarray]:
+    """Sums over rows(label, f) of what make(labels, features) gives for a batch: integer keys and one row of ``width`` numbers for each."""
+    names = [f"v{k}" for k in range(width)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key, value = make(batch.column("label").to_numpy(), matrix(batch.column("f")))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(value[:, k], pa.float64()) for k in range(width))], ["key", *names])
+
+    parts = rows.select("label", "f").mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in names))
+    found = parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).collect()
+    return {r["key"]: np.array(r[1:], dtype=np.float64) for r in found}
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+
+
+def between(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each score below it, in widths, and its share of the next place."""
+    x = np.clip(raw, -REACH, REACH) / WIDTH
+    low = np.floor(x)
+    return low.astype(np.int64), x - low
+
+
+def totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    return k[at], np.add.reduceat(values[order], at, axis=0)
+
+
+def fit_pairs(rows: DataFrame, mean: np.ndarray, std: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights w that maximise the mean likelihood of all pairs of a row a of label 1 and b of label 0, sigmoid(w (a - b)), by Newton steps."""
+    w = np.zeros(FEATURES)
+    shift = 4 * int(REACH / WIDTH)
+
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        grad = d.T @ (1 - p) / pairs - ridge * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / pairs + ridge * np.eye(len(w))
+
+        def placed(label, x, w=w):
+            z = (x - mean) / std
+            low, share = between(z @ w)
+            one = np.column_stack([np.ones(len(z)), z])
+            return totals(np.concatenate([low, low + 1]) + shift * np.tile(label, 2), np.concatenate([one * (1 - share)[:, None], one * share[:, None]]))
+
+        found = summed(rows, placed, FEATURES + 1)
+        sides = []
+        for v in (1, 0):
+            keys = sorted(k for k in found if (k > shift // 2) == bool(v))
+            x = np.array([found[k] for k in keys]).reshape(-1, FEATURES + 1)
+            sides.append((np.array(keys, dtype=np.int64) - shift * v, x[:, 0], x[:, 1:]))
+        (k, n, a), (m, o, b) = sides
+        if not len(k) or not len(m):
+            break
+        p = 1 / (1 + np.exp(-WIDTH * (k[:, None] - m[None, :])))
+        pairs, spread = n.sum() * o.sum(), p * (1 - p)
+        grad = (a.T @ ((1 - p) @ o) - b.T @ ((1 - p).T @ n)) / pairs - ridge * w
+        weight = {int(x) + shift: c for x, c in zip(k, spread @ o)} | {int(x): c for x, c in zip(m, spread.T @ n)}
+
+        def squares(label, x, w=w, weight=weight):
+            z = (x - mean) / std
+            low, share = between(z @ w)
+            here, after = (np.array([weight[v] for v in (low + k + shift * label).tolist()]) for k in (0, 1))
+            c = (1 - share) * here + share * after
+            return np.arange(FEATURES), (z * c[:, None]).T @ z
+
+        outer = summed(rows, squares, FEATURES)
+        cross = a.T @ spread @ b
+        hess = (np.array([outer[x] for x in range(FEATURES)]) - cross - cross.T) / pairs + ridge * np.eye(FEATURES)
         step = np.linalg.solve(hess, grad)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        w = w + step
+        if np.abs(step).max() < 1e-7:
             break
     return w
 
 
+def ranked(raw: DataFrame, low: int) -> list[float]:
+    """Of raw(raw) the values of rank ``low`` and the next, from 0; fewer where there are none."""
+    while True:
+        first, last, n = raw.agg(F.min("raw"), F.max("raw"), F.count("*")).first()
+        if n <= NEAR_CUT or first == last:
+            break
+        at = F.floor((F.col("raw") - first) / (last - first) * 4096)
+        parts = raw.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("raw").alias("a"), F.max("raw").alias("b")).orderBy("at").collect()
+        ends = np.cumsum([r["n"] for r in parts])
+        i, j = (min(int(np.searchsorted(ends, k, side="right")), len(parts) - 1) for k in (low, low + 1))
+        if (parts[i]["a"], parts[j]["b"]) == (first, last):
+            break
+        low -= int(ends[i - 1]) if i else 0
+        raw = raw.where((F.col("raw") >= parts[i]["a"]) & (F.col("raw") <= parts[j]["b"]))
+    out, before = [], 0
+    for r in raw.groupBy("raw").agg(F.count("*").alias("n")).orderBy("raw").collect():
+        out += [r["raw"]] * sum(before <= k < before + r["n"] for k in (low, low + 1))
+        before += r["n"]
+    return out
+
+
 class Ranker:
-    """Standardised features, Bradley-Terry weights, and the raw score at which GOOD lies."""
-
-    def __init__(self, x: np.ndarray, label: np.ndarray, stands: np.ndarray):
-        """stands: how many labelled rows each row of label 0 and 1 stands for."""
-        self.mean, self.std = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
-        z = (x - self.mean) / self.std
-        self.w = fit_pairs(z[label == 1], z[label == 0])
-        raw = z @ self.w
-        order = np.argsort(raw, kind="stable")
-        weight = stands[label[order]] if len(raw) else raw
-        below = int(np.searchsorted(np.cumsum(weight), weight[label[order] == 0].sum() if len(raw) else 0))
+    """Standardised features, Bradley-Terry weights, and the raw score at which GOOD lies; fitted on all of rows(label, f)."""
+
+    def __init__(self, rows: DataFrame):
+        size = summed(rows, lambda label, x: totals(label.astype(np.int64), np.column_stack([np.ones(len(x)), x])), FEATURES + 1)
+        n = sum(v[0] for v in size.values())
+        self.mean, self.std, self.w, self.cut, self.scale = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 1.0
+        if not n:
+            return
+        mean = self.mean = sum(v[1:] for v in size.values()) / n
+        squares = summed(rows, lambda label, x: (np.zeros(1), ((x - mean) ** 2).sum(axis=0)[None, :]), FEATURES)
+        self.std = np.maximum(np.sqrt(squares[0] / n), 1e-9)
+        self.w = fit_pairs(rows, self.mean, self.std)
+        raw = written(scored(rows, [], self.raw, "raw"), "raw")
         # Halfway between the last score below and the first above.
-        self.cut = float(raw[order][max(below, 0) : below + 2].mean()) if 0 < len(raw) > below else 0.0
-        self.scale = max(float(raw.std()), 1e-9) if len(raw) else 1.0
+        self.cut = float(np.mean(ranked(raw, max(int(size[0][0]) - 1 if 0 in size else 0, 0))))
+        self.scale = max(float(raw.agg(F.stddev_pop("raw")).first()[0]), 1e-9)
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.std) @ self.w
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = ((x - self.mean) / self.std) @ self.w
-        return 1 / (1 + np.exp(-np.clip((raw - self.cut) / self.scale * 4 + np.log(GOOD / (1 - GOOD)), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((self.raw(x) - self.cut) / self.scale * 4 + np.log(GOOD / (1 - GOOD)), -30, 30)))
 
 
 def admitted_labels(labels: DataFrame, name: str, train) -> DataFrame:
@@ -115,35 +203,37 @@ def featurised(frame: DataFrame, keep: list[str], make, size: int) -> DataFrame:
     return frame.select(*keep, "text").mapInArrow(run, f"{schema}, f array<double>")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ranker:
-    """Fitted on at most 2 * sample_rows labelled rows, which are all that comes to the driver."""
+def scored(frame: DataFrame, keep: list[str], make, name: str) -> DataFrame:
+    """keep columns and ``name``, what make gives for the features ``f``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(make(matrix(batch.column("f"))), pa.float64())], [*keep, name])
+
+    schema = [f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep]
+    return frame.select(*keep, "f").mapInArrow(run, ", ".join([*schema, f"{name} double"]))
+
+
+def fit_features(found: DataFrame, labels: DataFrame) -> Ranker:
+    """Fitted on every row of found(doc_id, f) with an admitted label; sums and the scores next to the cut come to the driver."""
+    known = admitted_labels(labels, "quality", crc_mod("doc_id", 4) != 2)
+    return Ranker(written(found.join(known, "doc_id").select("label", "f"), "labelled"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame) -> Ranker:
     small_batches(docs.sparkSession)
-    train = crc_mod("doc_id", 4) != 2
-    known = labelled_sample(docs, labels, "quality", sample_rows, train)
-    rows = featurised(known, ["label"], features, FEATURES).toArrow()
-    x = rows.column("f").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
-    # Pairs are drawn by position, so the rows get an order of their own.
-    order = np.lexsort(x.T)
-    stands = np.ones(2)
-    for r in admitted_labels(labels, "quality", train).groupBy("label").agg(F.count("*").alias("n")).collect():
-        stands[r["label"]] = max(1.0, r["n"] / sample_rows)
-    return Ranker(x[order], rows.column("label").to_numpy()[order], stands)
+    return fit_features(featurised(docs, ["doc_id"], features, FEATURES), labels)
 
 
 def score_quality(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """docs(doc_id, text) to (doc_id, score). Null texts count as empty and score as such."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(ranker)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for t in texts(batch)]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(x))], ["doc_id", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return scored(featurised(docs, ["doc_id"], features, FEATURES), ["doc_id"], ranker.score, "score")
 
 
 def op2_quality(spark, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    found = score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
+    small_batches(spark)
+    # Texts are read once; their features, 128 bytes a row, serve the fit and the scores.
+    rows = written(featurised(table(spark, folder, "documents"), ["doc_id"], features, FEATURES), "features")
+    found = scored(rows, ["doc_id"], fit_features(rows, table(spark, folder, "labels")).score, "score")
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
