@@ -1,22 +1,27 @@
-"""Near copies by Jaccard similarity of word shingles, through an index of min-hash fingerprints.
-
-A fingerprint has KEYS * PART positions; two texts of Jaccard similarity s have equal
-values at a position with chance s. Texts are posted under one key for each PART
-positions, so a pair at ALIKE shares none with chance (1 - 0.8^4)^20 = 2.6e-5. Of
-posted pairs the equal positional bytes are tallied, and those with LEAST_SAME or more
-are verified on their shingles. First each text meets the least of each of its keys;
-what that leaves apart meets in pairs of bounded blocks, first the best pair of two
-groups, then all pairs of groups that are still apart.
+"""Near copies by Jaccard similarity of word shingles, through an inverted index of SimHash fingerprint bytes.
+
+A fingerprint has 8 * PLACES bits, each the majority of one bit over the hashes of a
+text's shingles; two sets of equal size at ALIKE differ in a bit with chance 0.1515 and
+agree in a byte with chance 0.269. As in ``simhash``, posting lists are keyed by three
+positional bytes. A text is posted under those POSTED of TRIPLES whose bits its own sums
+hold furthest from a tie: near copies agree in most of them where they agree at all, and
+texts that aren't alike seldom post the same ones. Of pairs that share a list the equal positional bytes are tallied,
+and those with LEAST_SAME or more are verified on their shingles. First each text meets
+the least of its lists that it shares most with; what that leaves apart meets in pairs
+of bounded blocks, of a cluster of texts that share many lists or else of a list, first
+the best pair of two groups, then all pairs of groups that are still apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from quern.llm.common import groups, packed, small_batches, texts, written
 from quern.llm.components import components
@@ -25,13 +30,22 @@ from quern.llm.repeats import _mixed, run_hashes, word_hashes
 SHINGLE = 5
 #: Least Jaccard similarity of a link, as a ratio of whole numbers.
 ALIKE = (4, 5)
-PART, KEYS = 4, 20
-#: Of 80 positions, 64 are equal on average at ALIKE; fewer than 46 with chance below 1e-5.
-LEAST_SAME = 46
+#: Bytes of a fingerprint and of a key; lists of texts that are dealt at a time are those of one in ROUNDS of TRIPLES.
+PLACES, PART, POSTED, ROUNDS = 240, 3, 480, 4
+#: Small sets, whose bits tie more, post FEW over their size if that is more.
+FEW = 10_000
+#: Of 240 bytes, 64 are equal on average at ALIKE, and 45 of sets of four and five shingles, which tie most; fewer than 18 with chance below 1e-6.
+LEAST_SAME = 18
+#: Texts that share so many lists with a cluster are of it; clusters are gathered in so many steps.
+CLOSE, GATHER = 4, 3
 BLOCK = 256
 BINS = 512
 _G = np.random.default_rng(42)
-_FLIP, _SPREAD, _JOIN = (_G.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (PART * KEYS, PART * KEYS, PART))
+_FLIP, _SPREAD = (_G.integers(1 << 63, size=PLACES // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+#: Each byte is in 24 of them.
+TRIPLES = np.concatenate([_G.permutation(PLACES).reshape(-1, PART) for _ in range(24)])
+#: By distance from a tie in hundredths of a standard deviation: -1e5 times the log of the chance that an equally large set at ALIKE agrees in the bit.
+_UNSURE = np.array([-1e5 * math.log(0.5 * (1 + math.erf(z / 100 * 8 / math.sqrt(2 * (81 - 64))))) for z in range(600)]).astype(np.int64)
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -39,13 +53,24 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
     return np.unique(run_hashes(h, min(SHINGLE, len(h)))) if len(h) else h
 
 
-def fingerprint(s: np.ndarray) -> np.ndarray:
-    """The least value of each permutation over a set that isn't empty."""
-    least = np.full(PART * KEYS, np.iinfo(np.uint64).max)
+def ones(s: np.ndarray) -> np.ndarray:
+    """For each bit of a fingerprint, how many of a set's hashes have it."""
+    found = np.zeros(8 * PLACES, dtype=np.int64)
     with np.errstate(over="ignore"):
-        for k in range(0, len(s), 1024):
-            least = np.minimum(least, ((s[k : k + 1024] ^ _FLIP[:, None]) * _SPREAD[:, None]).min(axis=1))
-    return _mixed(least)
+        for k in range(0, len(s), 255):
+            bits = np.unpackbits(_mixed((s[k : k + 255, None] ^ _FLIP) * _SPREAD).view(np.uint8), axis=1)
+            found += bits.sum(axis=0, dtype=np.uint8)
+    return found
+
+
+def fingerprint(s: np.ndarray) -> tuple[bytes, bytes]:
+    """SimHash of a set that isn't empty, a bit being 1 if set in over half the hashes, and the surest of TRIPLES, as bits."""
+    lead = 2 * ones(s) - len(s)
+    unsure = _UNSURE[np.minimum(np.abs(lead) * (100 / math.sqrt(len(s))), len(_UNSURE) - 1).astype(np.int64)]
+    of = unsure.reshape(-1, 8).sum(axis=1)[TRIPLES].sum(axis=1) * len(TRIPLES) + np.arange(len(TRIPLES))
+    sure = np.zeros(len(TRIPLES), dtype=bool)
+    sure[np.argsort(of)[: max(POSTED, FEW // len(s))]] = True
+    return np.packbits(lead > 0).tobytes(), np.packbits(sure).tobytes()
 
 
 def bins(s: np.ndarray) -> bytes:
@@ -63,34 +88,60 @@ def bins(s: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def keys(f: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mixed((f.reshape(KEYS, PART) * _JOIN).sum(axis=1, dtype=np.uint64) + np.arange(KEYS, dtype=np.uint64)).view(np.int64)
+def keys(marks: np.ndarray, sure: np.ndarray, turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and keys of the triples of one turn that rows of marks and sure post: the triple's number, then its bytes."""
+    row, t = np.nonzero(np.unpackbits(sure, axis=1)[:, turn::rounds])
+    t = t * rounds + turn
+    key = t.astype(np.int64)
+    for k in range(PART):
+        key = (key << 8) | marks[row, TRIPLES[t, k]]
+    return row, key
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, th, node, keys, marks, bins, size); texts of the same words are one node, th is the hash of the very text."""
+    """docs(doc_id, text) to (doc_id, th, node, marks, sure, bins, size); texts of the same words are one node, th is the hash of the very text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, posted, marks, ranges, size = [], [], [], [], []
+            node, marks, sure, ranges, size = [], [], [], [], []
             for t in texts(batch):
                 h = word_hashes(t)
                 s = shingle_set(h)
-                f = fingerprint(s) if len(h) else None
+                f = fingerprint(s) if len(h) else (b"", b"")
                 ranges.append(bins(s))
                 size.append(len(s))
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
-                posted.append([] if f is None else keys(f))
-                marks.append(b"" if f is None else f.astype(np.uint8).tobytes())
+                marks.append(f[0])
+                sure.append(f[1])
             nodes = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), nodes, pa.array(posted, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(ranges, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "th", "node", "keys", "marks", "bins", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), nodes, pa.array(marks, pa.binary()), pa.array(sure, pa.binary()), pa.array(ranges, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "th", "node", "marks", "sure", "bins", "size"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, node long, keys array<long>, marks binary, bins binary, size long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, node long, marks binary, sure binary, bins binary, size long")
+
+
+def shared(classes: DataFrame) -> DataFrame:
+    """classes(node, marks, sure, size) to (key, node, v) of the lists that hold two nodes or more, v being the least of a list.
+
+    Lists of one round are dealt at a time, so that disk holds the shuffle of one round, and most lists, of one node, are never written.
+    """
 
+    def of(turn: int) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    row, key = keys(_bytes(batch.column("marks")), _bytes(batch.column("sure"), len(TRIPLES) // 8), turn, ROUNDS)
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row)), pa.array(key)], ["node", "key"])
 
-def _bytes(column: pa.ChunkedArray | pa.Array, width: int = PART * KEYS) -> np.ndarray:
+        posted = classes.where("size > 0").select("node", "marks", "sure").mapInArrow(run, "node long, key long")
+        alone = Window.partitionBy("key")
+        ends = posted.withColumns({"v": F.min("node").over(alone), "_b": F.max("node").over(alone)})
+        return written(ends.where("v <> _b").select("key", "node", "v"), "lists")
+
+    return reduce(DataFrame.unionByName, map(of, range(ROUNDS)))
+
+
+def _bytes(column: pa.ChunkedArray | pa.Array, width: int = PLACES) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), width)
 
 
@@ -140,12 +191,16 @@ def across(named: DataFrame) -> DataFrame:
     return x.select("key", "node", "root", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"))
 
 
-def apart(posted: DataFrame, marks: DataFrame, roots: DataFrame, best: bool = False) -> DataFrame:
-    """(u, v) of posted(node, key) that share a key, enough marks and enough of marks(node, marks, bins, size)'s bins, but not yet a root; with ``best``, of each pair of blocks and pair of roots only the pair that shares most."""
-    named = posted.join(roots, posted["node"] == roots["_n"], "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    dealt = across(named)
+def with_root(rows: DataFrame, roots: DataFrame, name: str = "root") -> DataFrame:
+    """Rows that have a node, with its root of roots(node, root), or itself."""
+    of = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    return rows.join(of, F.col("node") == F.col("_n"), "left").withColumn(name, F.coalesce("_r", "node")).drop("_n", "_r")
+
+
+def apart(dealt: DataFrame, marks: DataFrame, roots: DataFrame, best: bool = False) -> DataFrame:
+    """(u, v) of dealt(key, bi, bj, node) that meet there and share enough marks and enough of marks(node, marks, bins, size)'s bins, but not yet a root; with ``best``, of each pair of blocks and pair of roots only the pair that shares most."""
     by = ["key", "bi", "bj"]
-    ready = dealt.select(*by, "node", "root").join(marks.select("node", "marks", "bins", "size"), "node").repartition(*by).sortWithinPartitions(*by)
+    ready = dealt.select(*by, "node").join(with_root(marks, roots), "node").repartition(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, by):
@@ -171,6 +226,18 @@ def apart(posted: DataFrame, marks: DataFrame, roots: DataFrame, best: bool = Fa
     return ready.mapInArrow(run, "u long, v long").distinct()
 
 
+def clusters(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of nodes that share CLOSE of lists(key, node, v) with one least node, or then with those of one cluster, or have a link; nodes of no cluster may be left out."""
+    edges, found = links, links.select(F.col("u").alias("node"), F.col("v").alias("root")).where("false")
+    for _ in range(GATHER):
+        of = with_root(lists.select(F.col("v").alias("node"), F.col("node").alias("_u")), found, "v")
+        of = with_root(of.select(F.col("_u").alias("node"), "v"), found).where("root <> v")
+        close = of.groupBy("node", "v").agg(F.count("*").alias("c")).where(F.col("c") >= CLOSE).select(F.col("node").alias("u"), "v")
+        edges = written(edges.unionByName(close), "close")
+        found = components(edges)
+    return found
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) to (doc_id, th, root), one row per row of docs; equal roots are joined by links of ALIKE or more.
 
@@ -178,20 +245,26 @@ def near_components(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = written(sketches(docs), "sketches")
-    classes = written(rows.groupBy("node").agg(F.min("th").alias("th"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("bins").alias("bins"), F.first("size").alias("size")), "nodes")
-    posted = classes.select("node", F.explode("keys").alias("key"))
+    classes = written(rows.groupBy("node").agg(F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("marks", "sure", "bins", "size"))), "nodes")
+    lists = shared(classes)
+    posted = lists.select("node", "key")
     marks = classes.select("node", "marks", "bins", "size")
     # One text per node: any of the same words has the same shingles.
     whole = docs.select(F.xxhash64("text").alias("th"), "text").join(classes.select("th", "node"), "th").dropDuplicates(["node"]).select("node", "text")
-    least = posted.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("b")).where("v <> b").select("key", "v")
-    first = posted.join(least, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    least = lists.where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("c"))
+    first = least.groupBy("u").agg(F.max(F.struct("c", "v"))["v"].alias("most"), F.min("v").alias("least"))
+    first = first.select("u", F.explode(F.array_distinct(F.array("most", "least"))).alias("v"))
     links = written(verified(first, marks, whole), "links")
-    roots = components(links).withColumnRenamed("node", "_n")
+    # Texts of one cluster meet once, as a cluster; in a list, those of different clusters do.
+    cluster = clusters(lists, links)
+    listed = across(with_root(posted, cluster)).select("key", "bi", "bj", "node")
+    listed = written(listed, "listed")
+    roots = components(links)
     # Groups mostly join by their best pairs, so that few are left whose every pair is verified.
     for best in (True, False):
-        links = written(links.unionByName(verified(apart(posted, marks, roots, best), marks, whole)), "links")
-        roots = components(links).withColumnRenamed("node", "_n")
-    roots = roots.withColumnRenamed("_n", "node")
+        gathered = across(with_root(cluster.select(F.col("root").alias("key"), "node"), roots)).select("key", "bi", "bj", "node")
+        links = written(links.unionByName(verified(apart(gathered.unionByName(listed), marks, roots, best), marks, whole)), "links")
+        roots = components(links)
     named = rows.select("doc_id", "th", "node").join(roots, "node", "left")
     return named.select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
