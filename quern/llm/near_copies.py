@@ -5,7 +5,8 @@ text's shingles; two sets of equal size at ALIKE differ in a bit with chance 0.1
 agree in a byte with chance 0.269. As in ``simhash``, posting lists are keyed by three
 positional bytes. A text is posted under those POSTED of TRIPLES whose bits its own sums
 hold furthest from a tie: near copies agree in most of them where they agree at all, and
-texts that aren't alike seldom post the same ones. Of pairs that share a list the equal positional bytes are tallied,
+texts that aren't alike seldom post the same ones. A key brings TAGGED more bits along, of other bytes, and a list of two texts
+that differ in over APART of them is one by chance. Of pairs that share a list the equal positional bytes are tallied,
 and those with LEAST_SAME or more are verified on their shingles. First each text meets
 the least of its lists that it shares most with; what that leaves apart meets in pairs
 of bounded blocks, of a cluster of texts that share many lists or else of a list, first
@@ -15,7 +16,7 @@ the best pair of two groups, then all pairs of groups that are still apart.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from quern.llm.common import groups, packed, small_batches, texts, written
-from quern.llm.components import components
+from quern.llm.components import joined
 from quern.llm.repeats import _mixed, run_hashes, word_hashes
 
 SHINGLE = 5
@@ -38,8 +39,12 @@ FEW = 10_000
 LEAST_SAME = 18
 #: Texts that share so many lists with a cluster are of it; clusters are gathered in so many steps.
 CLOSE, GATHER = 4, 3
+#: Bits of other bytes that a key brings along; at ALIKE over APART of them differ in one of 200 lists, in unlike texts with chance 0.94. Sets of up to SMALL shingles are exempt: their bits tie more, and of pairs of four and five some share one list only.
+TAGGED, APART, SMALL = 27, 9, 5
 BLOCK = 256
 BINS = 512
+#: Groups of so few rows are tallied at once.
+FEW_ROWS = 16
 _G = np.random.default_rng(42)
 _FLIP, _SPREAD = (_G.integers(1 << 63, size=PLACES // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 #: Each byte is in 24 of them.
@@ -98,6 +103,16 @@ def keys(marks: np.ndarray, sure: np.ndarray, turn: int = 0, rounds: int = 1) ->
     return row, key
 
 
+def tagged(marks: np.ndarray, row: np.ndarray, key: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows and keys of ``keys`` as one long: the key, TAGGED bits of the two triples after its own of the same permutation, and whether the set is of SMALL size."""
+    t, each = key >> (8 * PART), PLACES // PART
+    of = [TRIPLES[t - t % each + (t + k) % each] for k in (1, 2)]
+    tag = np.zeros(len(key), dtype=np.int64)
+    for k in range(-(-TAGGED // 8)):
+        tag = (tag << 8) | marks[row, of[k // PART][:, k % PART]]
+    return (key << TAGGED | tag & ((1 << TAGGED) - 1)) << 1 | (size <= SMALL)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) to (doc_id, th, node, marks, sure, bins, size); texts of the same words are one node, th is the hash of the very text."""
 
@@ -121,22 +136,33 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shared(classes: DataFrame) -> DataFrame:
-    """classes(node, marks, sure, size) to (key, node, v) of the lists that hold two nodes or more, v being the least of a list.
+    """classes(node, marks, sure, size, root) to (key, node, root, v) of the lists that hold two roots or more, v being the least root of a list; without a column of roots a node is its own, and none is given.
 
-    Lists of one round are dealt at a time, so that disk holds the shuffle of one round, and most lists, of one node, are never written.
+    Lists of two nodes, none of them small, whose tags differ in over APART bits are left out: unlike texts share a list with
+    chance 7e-6 a pair, which makes far more such lists than there are near copies. Lists of one round are dealt at a time, so that disk holds the shuffle of one round, and most lists, of one node, are never written.
     """
 
+    roots = ["root"] if "root" in classes.columns else []
+
     def of(turn: int) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    row, key = keys(_bytes(batch.column("marks")), _bytes(batch.column("sure"), len(TRIPLES) // 8), turn, ROUNDS)
-                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row)), pa.array(key)], ["node", "key"])
-
-        posted = classes.where("size > 0").select("node", "marks", "sure").mapInArrow(run, "node long, key long")
-        alone = Window.partitionBy("key")
-        ends = posted.withColumns({"v": F.min("node").over(alone), "_b": F.max("node").over(alone)})
-        return written(ends.where("v <> _b").select("key", "node", "v"), "lists")
+                    marks = _bytes(batch.column("marks"))
+                    size = batch.column("size").to_numpy()
+                    row, key = keys(marks, _bytes(batch.column("sure"), len(TRIPLES) // 8), turn, ROUNDS)
+                    named = [batch.column(c).take(pa.array(row)) for c in ("node", *roots)]
+                    yield pa.RecordBatch.from_arrays([pa.array(tagged(marks, row, key, size[row])), *named], ["tagged", "node", *roots])
+
+        posted = classes.where("size > 0").select("node", "marks", "sure", "size", *roots).mapInArrow(run, ", ".join(f"{c} long" for c in ("tagged", "node", *roots)))
+        alone, key = Window.partitionBy("key"), F.shiftright("tagged", TAGGED + 1)
+        root = F.col(*roots or ["node"])
+        # Dealt before the key is a column of its own, so that it isn't shuffled.
+        ends = posted.repartition(key).select("*", key.alias("key")).withColumns({"v": F.min(root).over(alone), "_v": F.max(root).over(alone), "_n": F.count("*").over(alone), "_a": F.min("tagged").over(alone), "_b": F.max("tagged").over(alone)})
+        # Nodes of a list are distinct, and of two rows the least and the greatest tag are both.
+        near = F.bit_count(F.shiftright(F.col("_a").bitwiseXOR(F.col("_b")), 1)) <= APART
+        small = F.col("_a").bitwiseOR(F.col("_b")).bitwiseAND(1) == 1
+        return written(ends.where((F.col("v") < F.col("_v")) & ((F.col("_n") > 2) | near | small)).select("key", "node", *roots, "v"), "lists")
 
     return reduce(DataFrame.unionByName, map(of, range(ROUNDS)))
 
@@ -145,20 +171,32 @@ def _bytes(column: pa.ChunkedArray | pa.Array, width: int = PLACES) -> np.ndarra
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), width)
 
 
-def verified(pairs: DataFrame, marks: DataFrame, words: DataFrame) -> DataFrame:
-    """Of pairs(u, v) those whose similarity reaches ALIKE. marks(node, marks) spares most others; words(node, text) decides."""
+def _sides(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """pairs(u, v) with a column of of(node, ...) for u and for v, whose name gets the end's."""
+    side = lambda end: of.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v")
+
+
+def tallied(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of pairs(u, v) those that share enough of marks(node, marks)."""
 
     def same(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = (_bytes(batch.column("mu")) == _bytes(batch.column("mv"))).sum(axis=1) >= LEAST_SAME
+                near = (_bytes(batch.column("marks_u")) == _bytes(batch.column("marks_v"))).sum(axis=1) >= LEAST_SAME
                 yield batch.select(["u", "v"]).filter(pa.array(near))
 
+    return _sides(pairs, marks, "marks").mapInArrow(same, "u long, v long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Of pairs(u, v) those whose similarity reaches ALIKE, by the texts of docs(text) that named(node, th) names."""
+
     def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, b = None, np.zeros(0, np.uint64)
         for batch in batches:
             near = []
-            for v, x, y in zip(batch.column("v").to_pylist(), texts(batch, "tu"), texts(batch, "tv")):
+            for v, x, y in zip(batch.column("v").to_pylist(), texts(batch, "text_u"), texts(batch, "text_v")):
                 if v != last:
                     last, b = v, shingle_set(word_hashes(y))
                 a = shingle_set(word_hashes(x))
@@ -166,12 +204,12 @@ def verified(pairs: DataFrame, marks: DataFrame, words: DataFrame) -> DataFrame:
                 near.append(ALIKE[1] * both >= ALIKE[0] * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    of = lambda t, column, node, name: t.select(F.col("node").alias(node), F.col(column).alias(name))
-    some = pairs.join(of(marks, "marks", "u", "mu"), "u").join(of(marks, "marks", "v", "mv"), "v").mapInArrow(same, "u long, v long")
-    some = written(some, "near_pairs")
-    ends = some.select(F.col("u").alias("node")).unionByName(some.select(F.col("v").alias("node"))).distinct()
-    words = written(words.join(ends, "node", "left_semi"), "near_words")
-    return some.join(of(words, "text", "u", "tu"), "u").join(of(words, "text", "v", "tv"), "v").mapInArrow(alike, "u long, v long")
+    some = written(pairs, "near_pairs")
+    ends = some.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # One text per node: any of the same words has the same shingles.
+    words = docs.select(F.xxhash64("text").alias("th"), "text").join(named.select("node", "th").join(ends, "node"), "th")
+    words = written(words.dropDuplicates(["node"]).select("node", "text"), "near_words")
+    return _sides(some, words, "text").select("u", "v", "text_u", "text_v").mapInArrow(alike, "u long, v long")
 
 
 def across(named: DataFrame) -> DataFrame:
@@ -209,9 +247,12 @@ def apart(dealt: DataFrame, marks: DataFrame, roots: DataFrame, best: bool = Fal
             ends = at if at[-1] == t.num_rows else np.append(at, t.num_rows)
             for s, e in zip(ends, ends[1:]):
                 x, r = m[s:e], root[s:e]
-                tally = np.zeros((e - s, e - s), dtype=np.uint8)
-                for k in range(x.shape[1]):
-                    tally += x[:, k, None] == x[None, :, k]
+                if e - s <= FEW_ROWS:
+                    tally = (x[:, None] == x[None]).sum(axis=2, dtype=np.uint8)
+                else:
+                    tally = np.zeros((e - s, e - s), dtype=np.uint8)
+                    for k in range(x.shape[1]):
+                        tally += x[:, k, None] == x[None, :, k]
                 i, j = np.nonzero((tally >= LEAST_SAME) & (r[:, None] > r[None, :]))
                 differ = np.concatenate([np.zeros(0, np.int64), *((ranges[s + i[k : k + 4096]] != ranges[s + j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096))])
                 near = (ALIKE[0] + ALIKE[1]) * differ <= (ALIKE[1] - ALIKE[0]) * (size[s + i] + size[s + j])
@@ -226,15 +267,28 @@ def apart(dealt: DataFrame, marks: DataFrame, roots: DataFrame, best: bool = Fal
     return ready.mapInArrow(run, "u long, v long").distinct()
 
 
-def clusters(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) of nodes that share CLOSE of lists(key, node, v) with one least node, or then with those of one cluster, or have a link; nodes of no cluster may be left out."""
-    edges, found = links, links.select(F.col("u").alias("node"), F.col("v").alias("root")).where("false")
-    for _ in range(GATHER):
-        of = with_root(lists.select(F.col("v").alias("node"), F.col("node").alias("_u")), found, "v")
-        of = with_root(of.select(F.col("_u").alias("node"), "v"), found).where("root <> v")
-        close = of.groupBy("node", "v").agg(F.count("*").alias("c")).where(F.col("c") >= CLOSE).select(F.col("node").alias("u"), "v")
-        edges = written(edges.unionByName(close), "close")
-        found = components(edges)
+def close(lists: DataFrame) -> DataFrame:
+    """(u, v) of nodes u that share CLOSE of lists(key, node, v) with a v."""
+    return lists.where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("c")).where(F.col("c") >= CLOSE).select("u", "v")
+
+
+def renamed(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """lists(node, v) as (node, root, v), v being its root in found(node, root)."""
+    of = with_root(lists.select(F.col("v").alias("node"), F.col("node").alias("_u")), found, "v")
+    return with_root(of.select(F.col("_u").alias("node"), "v"), found).select("node", "root", "v")
+
+
+def clusters(lists: DataFrame, links: DataFrame, anew: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of nodes that share CLOSE of lists(key, node, v) with one least node, or then with those of one cluster, or have a link; nodes of no cluster may be left out.
+
+    ``anew`` gives the lists (node, root, v) for clusters that are found; else their rows are joined to them.
+    """
+    edges = written(links.unionByName(close(lists)), "close")
+    found = joined(edges)
+    for _ in range(GATHER - 1):
+        of = anew(found) if anew else renamed(lists, found)
+        edges = written(edges.unionByName(close(of.where("root <> v"))), "close")
+        found = joined(edges)
     return found
 
 
@@ -247,24 +301,24 @@ def near_components(docs: DataFrame) -> DataFrame:
     rows = written(sketches(docs), "sketches")
     classes = written(rows.groupBy("node").agg(F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("marks", "sure", "bins", "size"))), "nodes")
     lists = shared(classes)
-    posted = lists.select("node", "key")
-    marks = classes.select("node", "marks", "bins", "size")
-    # One text per node: any of the same words has the same shingles.
-    whole = docs.select(F.xxhash64("text").alias("th"), "text").join(classes.select("th", "node"), "th").dropDuplicates(["node"]).select("node", "text")
+    # All that follows is about the texts that share a list.
+    met = written(classes.join(lists.select("node").distinct(), "node", "left_semi"), "met")
+    marks = met.select("node", "marks", "bins", "size")
     least = lists.where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("c"))
     first = least.groupBy("u").agg(F.max(F.struct("c", "v"))["v"].alias("most"), F.min("v").alias("least"))
     first = first.select("u", F.explode(F.array_distinct(F.array("most", "least"))).alias("v"))
-    links = written(verified(first, marks, whole), "links")
-    # Texts of one cluster meet once, as a cluster; in a list, those of different clusters do.
-    cluster = clusters(lists, links)
-    listed = across(with_root(posted, cluster)).select("key", "bi", "bj", "node")
-    listed = written(listed, "listed")
-    roots = components(links)
+    links = written(verified(tallied(first, marks), docs, met), "links")
+    # Texts of one cluster meet once, as a cluster; in a list, those of different clusters do. Most lists of a large
+    # group of near copies lie in one cluster, so lists are dealt anew with the clusters: joins would take every row of them.
+    anew = lambda found: shared(with_root(met, found))
+    cluster = clusters(lists, links, anew)
+    listed = written(across(anew(cluster).select("key", "node", "root")).select("key", "bi", "bj", "node"), "listed")
+    roots = joined(links)
     # Groups mostly join by their best pairs, so that few are left whose every pair is verified.
     for best in (True, False):
         gathered = across(with_root(cluster.select(F.col("root").alias("key"), "node"), roots)).select("key", "bi", "bj", "node")
-        links = written(links.unionByName(verified(apart(gathered.unionByName(listed), marks, roots, best), marks, whole)), "links")
-        roots = components(links)
+        links = written(links.unionByName(verified(apart(gathered.unionByName(listed), marks, roots, best), docs, met)), "links")
+        roots = joined(links)
     named = rows.select("doc_id", "th", "node").join(roots, "node", "left")
     return named.select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 

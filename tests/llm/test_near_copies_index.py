@@ -1,7 +1,7 @@
 """The near-duplicate stage's index: SimHash fingerprints, posted under their surest bytes."""
 
 import numpy as np
-from quern.llm import near_copies
+from quern.llm import components, near_copies
 
 
 def test_fingerprint_bits_are_majorities():
@@ -55,3 +55,41 @@ def test_clusters_and_lists_deal_all_pairs(spark):
     assert {r["node"]: r["root"] for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 7: 7, 8: 7}
     dealt = near_copies.across(near_copies.with_root(df.select("node", "key"), found)).collect()
     assert {(r["key"], r["node"]) for r in dealt} == {(20, 1), (20, 9)}
+
+
+def classes(spark, others, size=100, roots=None):
+    """Nodes 0 and up that post one triple only, whose bytes agree; of the other bytes, ``others`` are flipped or not."""
+    g = np.random.default_rng(8)
+    t, base = 5, g.integers(256, size=near_copies.PLACES, dtype=np.uint8)
+    sure = np.zeros(len(near_copies.TRIPLES), dtype=bool)
+    sure[t] = True
+    flip = np.full(near_copies.PLACES, 255, dtype=np.uint8)
+    flip[near_copies.TRIPLES[t]] = 0
+    rows = [(n, bytes(base ^ flip if x else base), np.packbits(sure).tobytes(), size, *([] if roots is None else [roots[n]])) for n, x in enumerate(others)]
+    return spark.createDataFrame(rows, "node long, marks binary, sure binary, size long" + (", root long" if roots else ""))
+
+
+def test_lists_of_unlike_texts_are_left_out(spark):
+    """Two nodes that agree in a key but not in its tag share no list; small sets, alike ones and longer lists do."""
+    found = lambda *a, **b: sorted(r["node"] for r in near_copies.shared(classes(spark, *a, **b)).collect())
+    assert found([0, 1]) == []
+    assert found([0, 0]) == found([0, 1], size=near_copies.SMALL) == [0, 1]
+    assert found([0, 1, 1]) == [0, 1, 2]
+
+
+def test_lists_of_one_cluster_are_left_out(spark):
+    """Dealt anew with roots, a list stays only if it holds two of them, with the least as its v."""
+    assert near_copies.shared(classes(spark, [0, 0, 1], roots=[7, 7, 7])).count() == 0
+    got = near_copies.shared(classes(spark, [0, 0, 1], roots=[7, 7, 3])).collect()
+    assert sorted((r["node"], r["root"], r["v"]) for r in got) == [(0, 7, 3), (1, 7, 3), (2, 3, 3)]
+
+
+def test_joined_in_one_task_equals_the_rounds(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in g.integers(-60, 60, (70, 2))] + [(k, k + 1) for k in range(100, 140)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    some = lambda e: {(r["node"], r["root"]) for r in components.joined(e).collect()}
+    one = some(df)
+    assert one and some(df.where("false")) == set()
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert one == some(df)
